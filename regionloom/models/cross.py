@@ -58,7 +58,7 @@ def cross_analysis(df: DataFrame, by: str, groups: dict[str, list[str]], models:
                     parts.append(fit.select(by, F.lit(a).alias("from_group"), F.lit(target).alias("target"), F.lit(model).alias("model"), "n", "score"))
                     continue
                 if clusters is None:
-                    clusters = [r[0] for r in df.select(by).distinct().limit(1000).collect()]
+                    clusters = sorted(r[0] for r in df.select(by).distinct().collect())
                 for c in clusters:
                     rows = df.where(F.col(by).eqNullSafe(F.lit(c)))
                     mean = rows.agg(F.avg(target)).first()[0]

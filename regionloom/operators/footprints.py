@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -12,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from regionloom.functions import geo
 from regionloom.functions.scalars import iso_date, to_numeric
 from regionloom.operators.joins import centroid_fallback
-from regionloom.schema import RING
+from regionloom.schema import RING, RING_TYPE
 
 
 def point_cloud(df: DataFrame, lat: str, lon: str, centre, radius: float, earth: float = geo.EARTH_MILES) -> DataFrame:
@@ -124,7 +121,7 @@ def clip_convex(subject, window):
     return [{"lon": x, "lat": y} for x, y in result]
 
 
-@F.pandas_udf(RING)
+@F.pandas_udf(RING_TYPE)
 def _clip(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([clip_convex(list(p), list(q)) for p, q in zip(a, b)], dtype=object)
 
@@ -207,9 +204,9 @@ def _tile(value, level):
 
 
 def spatial_join(
-    points: DataFrame, polygons: DataFrame, polygon_id: str, lat: str = "latitude", lon: str = "longitude", ring: str = "ring", how: str = "inner"
+    points: DataFrame, polygons: DataFrame, polygon_id: str, lat: str = "latitude", lon: str = "longitude", ring: str = "ring"
 ) -> DataFrame:
-    """Points beside the polygons that contain them (``how='left_semi'``: the points in any polygon).
+    """Points beside the polygons that contain them.
 
     Each polygon is filed at the tile level where it spans at most two tiles each way, so it takes up to four tiles
     whatever its size, and a point looks in one tile per level in use. The ray test runs on tile mates only.
@@ -237,8 +234,6 @@ def spatial_join(
     on = (
         (spread["__level"] == tiles["__level"]) & (spread["__tx"] == tiles["__tx"]) & (spread["__ty"] == tiles["__ty"]) & inside
     )
-    if how == "left_semi":
-        raise ValueError("use polygon_filter")
     return spread.join(tiles, on).select(*[spread[c] for c in points.columns], tiles[polygon_id])
 
 
@@ -248,10 +243,6 @@ def polygon_filter(points: DataFrame, polygons: DataFrame, polygon_id: str, row_
     return hits.drop(polygon_id).dropDuplicates([row_id])
 
 
-def radius_in_degrees(km: float) -> float:
-    return math.degrees(km / geo.EARTH_KM)
-
-
 def map_points(obs: DataFrame, n: int, row_id: str = "id") -> DataFrame:
     """Up to ``n`` display points of each source with a label, in hash order."""
     from regionloom.functions.scalars import title_label
@@ -261,6 +252,3 @@ def map_points(obs: DataFrame, n: int, row_id: str = "id") -> DataFrame:
     shown = limit_per_source(placed, n, row_id)
     return shown.select(row_id, "source_key", title_label("source_key").alias("label"), "latitude", "longitude")
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

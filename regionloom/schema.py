@@ -23,6 +23,7 @@ OBSERVATION_SCHEMA = T.StructType(
 )
 
 RING = "array<struct<lon:double,lat:double>>"
+RING_TYPE = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
 
 
 @dataclass(frozen=True)
