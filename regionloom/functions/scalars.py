@@ -89,10 +89,6 @@ def title_label(c, names: dict[str, str] | None = None) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), c), fallback)
 
 
-def interval_label(low, high) -> Column:
-    return F.format_string("%.2f to %.2f", as_col(low), as_col(high))
-
-
 # Unit endings of column names.
 UNIT_SUFFIXES = ("ft", "m", "in", "cm", "km", "mi", "ft2", "ft3", "m2", "m3")
 

@@ -101,7 +101,7 @@ def time_ranges(tables: dict[str, DataFrame], candidates: dict[str, list[str]])
         columns = [c for c in candidates.get(key, []) if c in kinds]
         if not columns:
             continue
-        times = [F.col(c) if kinds[c] in ("timestamp", "date") else to_time(c) for c in columns]
+        times = [F.col(c) if kinds[c] in ("timestamp", "timestamp_ntz", "date") else to_time(c) for c in columns]
         found = table.agg(
             *[
                 F.when(

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from regionloom.functions.scalars import interval_label, to_numeric
+from regionloom.functions.scalars import to_numeric
 
 
 def _edge_digits(x: Column) -> Column:
     """Edges are shown with three digits: after the point, or after the leading zeros of a fraction."""
     size = F.abs(x)
     whole = F.round(x, 3)
-    digits = F.floor(-F.log10(F.when(size > 0, size))) + 3
+    digits = F.ceil(-F.log10(F.when(size > 0, size))) + 2
     scale = F.pow(F.lit(10.0), digits)
     return F.when((size >= 1) | (size == 0), whole).otherwise(F.round(x * scale, 0) / scale)
 
@@ -33,15 +34,24 @@ def _edges(low: Column, high: Column, bins: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), bins), edge)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _labels(edges: pd.Series) -> pd.Series:
+    """``low to high`` per bin with two digits of the binary value (Java's formatter rounds the printed decimal
+    instead). Runs on one row per group, never on data rows."""
+    return pd.Series([[f"{a:.2f} to {b:.2f}" for a, b in zip(e[:-1], e[1:])] for e in edges], dtype=object)
+
+
 def bin_edges(long: DataFrame, bins: int, by: list[str]) -> DataFrame:
-    """Per group: the edges, and min(bins, distinct values) bins."""
+    """Per group: the edges as used and as shown, and min(bins, distinct values) bins with their labels."""
     # two steps: distinct values are reduced before they are counted
     values = long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("__w"))
     stats = values.groupBy(*by).agg(
         F.min("value").alias("__low"), F.max("value").alias("__high"), F.count(F.lit(1)).alias("__d")
     )
     count = F.least(F.lit(bins), F.col("__d").cast("int"))
-    return stats.select(*by, count.alias("__bins"), _edges(F.col("__low"), F.col("__high"), count).alias("__edges"))
+    edged = stats.select(*by, count.alias("__bins"), _edges(F.col("__low"), F.col("__high"), count).alias("__edges"))
+    shown = edged.withColumn("__shown", F.transform("__edges", _edge_digits))
+    return shown.withColumn("__labels", _labels("__shown"))
 
 
 def bin_number(value: Column, edges: Column, bins: Column) -> Column:
@@ -63,14 +73,18 @@ def frequency_bins(df: DataFrame, variables: list[str], bins: int = 5, by: str =
     edges = bin_edges(long, bins, keys)
     number = bin_number(F.col("value"), F.col("__edges"), F.col("__bins"))
     counts = long.join(edges, keys).groupBy(*keys, number.alias("bin")).agg(F.count(F.lit(1)).alias("__n"))
-    all_bins = edges.select(*keys, "__edges", F.explode(F.sequence(F.lit(0), F.col("__bins") - 1)).alias("bin"))
-    low = _edge_digits(F.get("__edges", F.col("bin")))
-    high = _edge_digits(F.get("__edges", F.col("bin") + 1))
-    framed = all_bins.select(*keys, "bin", low.alias("bin_low"), high.alias("bin_high"))
+    all_bins = edges.select(*keys, "__shown", "__labels", F.explode(F.sequence(F.lit(0), F.col("__bins") - 1)).alias("bin"))
+    framed = all_bins.select(
+        *keys,
+        "bin",
+        F.get("__labels", F.col("bin")).alias("bin_label"),
+        F.get("__shown", F.col("bin")).alias("bin_low"),
+        F.get("__shown", F.col("bin") + 1).alias("bin_high"),
+    )
     return framed.join(counts, [*keys, "bin"], "left").select(
         *keys,
         "bin",
-        interval_label("bin_low", "bin_high").alias("bin_label"),
+        "bin_label",
         "bin_low",
         "bin_high",
         ((F.col("bin_low") + F.col("bin_high")) / 2).alias("bin_midpoint"),
@@ -87,7 +101,5 @@ def distribution_bin(df: DataFrame, variable: str, bins: int = 5, by: str = "sou
     """The label of its bin on every row (NULL without a value)."""
     edges = bin_edges(long_values(df, [variable], [by]), bins, [by, "variable"]).drop("variable")
     number = bin_number(to_numeric(variable), F.col("__edges"), F.col("__bins"))
-    low = _edge_digits(F.get("__edges", number))
-    high = _edge_digits(F.get("__edges", number + 1))
-    label = F.when(to_numeric(variable).isNotNull(), interval_label(low, high))
+    label = F.when(to_numeric(variable).isNotNull(), F.get("__labels", number))
     return df.join(edges, by, "left").withColumn(new, label).select(*df.columns, new)

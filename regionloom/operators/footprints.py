@@ -162,7 +162,7 @@ def time_overlap(ranges: DataFrame, by: str = "source_key") -> DataFrame:
     pairs = a.join(b, meet).select(
         "source_a", "source_b", F.greatest("s_a", "s_b").alias("time_start"), F.least("e_a", "e_b").alias("time_end")
     )
-    days = F.floor((F.unix_micros("time_end") - F.unix_micros("time_start")) / 86_400_000_000).cast("bigint")
+    days = F.floor((F.unix_micros(F.col("time_end").cast("timestamp")) - F.unix_micros(F.col("time_start").cast("timestamp"))) / 86_400_000_000).cast("bigint")
     return pairs.withColumn("overlap_days", days)
 
 
