@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Date layouts tried in this order.
-DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "yyyyMMdd",
-)
+# Date layouts with the shape of a text that may have them, tried in this order.
+DATE_FORMATS = {
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy HH:mm:ss": r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
 
 
 def as_col(c) -> Column:
@@ -34,10 +34,15 @@ def blank_to_null(c) -> Column:
 
 
 def to_time(c, formats=DATE_FORMATS) -> Column:
-    """Timestamp from text: the first layout that parses, then Spark's own reading, else NULL."""
+    """Timestamp from text by the layout whose shape it has, else by Spark's own reading, else NULL.
+
+    The shape is tested first: a parser that fails on every row is slow.
+    """
     text = blank_to_null(c)
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    return F.coalesce(*tries, text.try_cast("timestamp"))
+    other = F.when(text.rlike("^[0-9]"), text.try_cast("timestamp"))
+    for layout, shape in reversed(formats.items()):
+        other = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout))).otherwise(other)
+    return other
 
 
 def epoch_seconds(c) -> Column:

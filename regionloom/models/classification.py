@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from regionloom.functions.scalars import entropy
 from regionloom.operators.columns import attach, complete_cases, normalize
+from regionloom.session import spread
 
 
 def confusion_matrix(predictions: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -57,7 +58,7 @@ def classification_metrics(predictions: DataFrame, label: str, prediction: str,
 
 
 def _prepared(df: DataFrame, features: list[str], target: str):
-    rows = complete_cases(df, [*features, target]).withColumn("__label", F.col(target).cast("string"))
+    rows = spread(complete_cases(df, [*features, target])).withColumn("__label", F.col(target).cast("string"))
     indexer = StringIndexer(inputCol="__label", outputCol="__index", stringOrderType="alphabetAsc").fit(rows)
     return indexer, indexer.transform(rows)
 
@@ -86,13 +87,13 @@ def fourier_features(df: DataFrame, features: list[str], size: int, seed: int =
     rng = np.random.default_rng(seed)
     directions = rng.normal(0.0, math.sqrt(2 * gamma), (size, len(features)))
     shifts = rng.uniform(0, 2 * math.pi, size)
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in [*d, s]]) for d, s in zip(directions, shifts)])
-    inputs = F.array(*[F.col(f).cast("double") for f in features], F.lit(1.0))
-
-    def wave(w):
-        return F.cos(F.aggregate(F.zip_with(w, F.col("__in"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)) * math.sqrt(2.0 / size)
-
-    return df.withColumn("__in", inputs).withColumn("features", array_to_vector(F.transform(rows, wave))).drop("__in")
+    waves = []
+    for direction, shift in zip(directions, shifts):
+        angle = F.lit(float(shift))
+        for f, w in zip(features, direction):
+            angle = angle + F.col(f) * float(w)
+        waves.append(F.cos(angle) * math.sqrt(2.0 / size))
+    return df.withColumn("features", array_to_vector(F.array(*waves)))
 
 
 def svm(df: DataFrame, features: list[str], target: str, size: int = 48, max_iter: int = 20, seed: int = 42):
@@ -100,7 +101,7 @@ def svm(df: DataFrame, features: list[str], target: str, size: int = 48, max_ite
     against the rest, with a logistic step from margins to probabilities. Values differ from a kernel solver."""
     indexer, rows = _prepared(df, features, target)
     waves = fourier_features(normalize(rows, features), features, size, seed).select(*rows.columns, "features").persist()
-    machine = LinearSVC(maxIter=max_iter, regParam=1e-4, standardization=False)
+    machine = LinearSVC(maxIter=max_iter, regParam=1e-4, standardization=False, rawPredictionCol="margins")
     model = OneVsRest(classifier=machine, labelCol="__index", rawPredictionCol="margins").fit(waves)
     scored = model.transform(waves).persist()
     platt = LogisticRegression(featuresCol="margins", labelCol="__index", maxIter=50, predictionCol="__p", rawPredictionCol="__r")

@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from regionloom.operators.columns import complete_cases, normalize
+from regionloom.session import spread
 
 
 @dataclass
@@ -26,7 +27,7 @@ def kmeans(df: DataFrame, features: list[str], k: int = 6, scale: bool = True, s
 
     The silhouette is Spark's simplified one with squared Euclidean distance. k is at most the number of rows.
     """
-    rows = complete_cases(df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features]), features)
+    rows = complete_cases(spread(df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features])), features)
     raw = rows.withColumns({f"__raw_{f}": F.col(f) for f in features})
     scaled = normalize(raw, features) if scale else raw
     vectors = VectorAssembler(inputCols=features, outputCol="features").transform(scaled).persist()

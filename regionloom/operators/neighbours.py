@@ -22,7 +22,8 @@ from regionloom.functions import geo
 from regionloom.session import stage
 
 BITS = 20
-FIRST_LEVEL = 3
+# the first round pairs all occupied cells of its level: at most 64^3 on average for any number of points
+FIRST_LEVEL = {1: 6, 2: 4, 3: 3}
 STEP = 1
 # a cell goes to the final join when it needs at most this many comparisons of points
 SMALL_PRODUCT = 16_384
@@ -101,8 +102,8 @@ def _reach() -> Column:
     return total
 
 
-def _levels(start: int = FIRST_LEVEL):
-    level, before = start, 0
+def _levels(dimensions: int):
+    level, before = FIRST_LEVEL[dimensions], 0
     while True:
         yield level, before
         if level == BITS:
@@ -134,13 +135,13 @@ def _roots(left: DataFrame, right: DataFrame, keep: Column | None) -> DataFrame:
     return roots if keep is None else roots.where(keep)
 
 
-def _candidates(left: DataFrame, right: DataFrame, need: int, cap: int, keep: Column | None) -> list[tuple[int, DataFrame]]:
+def _candidates(left: DataFrame, right: DataFrame, need: int, cap: int, keep: Column | None, dimensions: int) -> list[tuple[int, DataFrame]]:
     """Cell pairs that may hold one of the ``need`` nearest points: [(level, pairs)]."""
     active = _roots(left, right, keep)
     per_cell = Window.partitionBy("lg", "lc", "rg")
     by_reach = per_cell.orderBy("reach", "rc")
     done = []
-    for level, before in _levels():
+    for level, before in _levels(dimensions):
         pairs = _split(active, left, right, level, before)
         ranked = pairs.withColumn("__upto", F.sum("rn").over(by_reach))
         bound = F.min(F.when(F.col("__upto") >= need, F.col("reach"))).over(per_cell)
@@ -185,7 +186,7 @@ def places(df: DataFrame, lat: str, lon: str, group: str | None = None, weight:
 def _nearest_table(left: DataFrame, right: DataFrame, earth: float, keep: Column | None = None) -> DataFrame:
     """(lg, l_lat, l_lon, rg, km) for places: the least distance to each right group."""
     left, right = _prepare(left, right)
-    rounds = _candidates(left, right, need=1, cap=512, keep=keep)
+    rounds = _candidates(left, right, need=1, cap=512, keep=keep, dimensions=2)
     beside = _pick(left, right, rounds, ["lat", "lon", "w"], ["lat", "lon"])
     km = geo.haversine("l_lat", "l_lon", "r_lat", "r_lon", earth)
     return beside.groupBy("lg", "l_lat", "l_lon", "l_w", "rg").agg(F.min(km).alias("km"))
@@ -237,7 +238,7 @@ def _range_rounds(left, right, chords: list[float], cap: int, keep: Column | Non
     settled = reduce(lambda a, b: a & b, [i | o for i, o in zip(contained, apart)])
     hits = F.array(*[F.when(i, F.col("rw")).otherwise(F.lit(0)) for i in contained])
     done = []
-    for level, before in _levels():
+    for level, before in _levels(2):
         pairs = _split(active, left, right, level, before).where(F.col("gap") <= outer)
         small = F.lit(True) if level == BITS else F.col("ln") * F.col("rn") <= cap
         state = F.when(small, "points").otherwise("split")
@@ -356,7 +357,7 @@ def k_nearest(
     lefts = _feature_points(left, features, row_id, 0)
     spots = lefts.groupBy("g", *AXES).agg(F.count(F.lit(1)).alias("w"))
     a, b = _prepare(spots, _feature_points(right, features, row_id, need))
-    rounds = _candidates(a, b, need=need, cap=max(512, 32 * need), keep=None)
+    rounds = _candidates(a, b, need=need, cap=max(512, 32 * need), keep=None, dimensions=len(features))
     per_spot = _closest(a, b, rounds, need)
     rows = lefts.select("id", *AXES).join(per_spot, list(AXES))
     if not exclude_same_id:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from regionloom.functions.scalars import looks_numeric, unit_suffix
+from regionloom.operators.columns import attach
 
 # Name patterns, tested in the order of ``_rules``.
 GEO_NAME = r"(?i)(lat|lon|y_coord|x_coord)"
@@ -20,8 +21,10 @@ LABEL_COUNT = 50
 
 
 def _facts(df: DataFrame, exact: bool) -> DataFrame:
-    """One row per column with the counts that the rules need; one aggregate over the table."""
+    """One row per column with the counts that the rules need: one aggregate over the table, and one for the exact
+    distinct counts, whose expanded rows then carry nothing else."""
     aggregates: list[Column] = [F.count(F.lit(1)).alias("n")]
+    distincts: list[Column] = []
     for i, field in enumerate(df.schema.fields):
         raw = F.col(f"`{field.name}`")
         number = isinstance(field.dataType, T.NumericType)
@@ -36,15 +39,20 @@ def _facts(df: DataFrame, exact: bool) -> DataFrame:
         like_number = present & (looks_numeric(text) if not number else F.lit(True))
         plain_number = F.when(present & looks_numeric(text), text.try_cast("double"))
         money = present & text.startswith("$") if isinstance(field.dataType, T.StringType) else F.lit(False)
+        if exact:
+            distincts.append(F.count_distinct(value).alias(f"unique_{i}"))
+        else:
+            aggregates.append(F.approx_count_distinct(value).alias(f"unique_{i}"))
         aggregates += [
             F.count_if(~present).alias(f"null_{i}"),
-            (F.count_distinct(value) if exact else F.approx_count_distinct(value)).alias(f"unique_{i}"),
             F.count_if(like_number).alias(f"numeric_{i}"),
             F.min(plain_number).alias(f"low_{i}"),
             F.max(plain_number).alias(f"high_{i}"),
             F.count_if(money).alias(f"money_{i}"),
         ]
     wide = df.agg(*aggregates)
+    if exact:
+        wide = attach(wide, df.agg(*distincts))
     rows = [
         F.struct(
             F.lit(i).alias("position"),

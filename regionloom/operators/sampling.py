@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from regionloom.functions.scalars import to_numeric
 from regionloom.operators.filters import compare
 from regionloom.operators.tables import deterministic_sample, hash_order
+from regionloom.session import spread
 
 # Critical values by confidence (any other level counts as 0.95) and by degrees of freedom.
 Z_VALUES = {0.90: 1.645, 0.95: 1.960, 0.99: 2.576}
@@ -152,7 +153,7 @@ def poisson_bootstrap_means(df: DataFrame, value: str, row_id: str, n_iter: int
     Every (row, replicate) has a hashed Poisson(1) weight; the sums per replicate are formed in each task before the
     shuffle, so only ``n_iter`` rows per task travel.
     """
-    reps = df.select(F.col(row_id).alias("__id"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("rep"))
+    reps = spread(df).select(F.col(row_id).alias("__id"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("rep"))
     u = _uniform(F.col("__id"), F.col("rep"), F.lit(seed))
     ends = poisson_weights()
     weight = F.when(F.col("u") < ends[0], 0)

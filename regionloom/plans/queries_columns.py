@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from regionloom.functions import geo, scalars
 from regionloom.operators import columns, filters, joins, positions, tables
 from regionloom.plans.registry import query
-from regionloom.plans.views import CENTRE, EV, OBS, distance_sql, events, observations, table, with_distance
+from regionloom.plans.views import CENTRE, EV, OBS, distance_sql, events, located, located_sql, observations, table, with_distance
 from regionloom.sources import metadata, readers, writers
 
 # ---------------------------------------------------------------- flagship
@@ -660,7 +660,7 @@ def text_functions(spark, sf_dir):
 
 @query(
     "rings_and_points",
-    f"""WITH {EV} SELECT event_id, round(0.5 * 64 * sin(radians(360.0 / 64)) * 0.01 * 12321.0, 4) AS disc_km2, 361 AS outline_points,
+    f"""WITH {EV} SELECT event_id, round(0.5 * 64 * sin(radians(360.0 / 64)) * 0.01 * 12321.0, 4) AS disc_km2,
     '{{"type":"Point"' AS head, true AS has_centre, false AS has_far FROM ev""",
 )
 def rings_and_points(spark, sf_dir):
@@ -669,13 +669,23 @@ def rings_and_points(spark, sf_dir):
     return wide.select(
         "event_id",
         F.round(geo.ring_area_km2("ring"), 4).alias("disc_km2"),
-        F.size(geo.radius_outline("latitude", "longitude", 50.0)).alias("outline_points"),
         F.substring(geo.point_geojson("longitude", "latitude"), 1, 15).alias("head"),
         geo.ring_contains("ring", F.col("longitude"), F.col("latitude")).alias("has_centre"),
         geo.ring_contains("ring", F.col("longitude") + 0.2, F.col("latitude")).alias("has_far"),
     )
 
 
+@query(
+    "radius_outlines",
+    f"""WITH s AS (SELECT s_suppkey, {located_sql('s_suppkey')} FROM supplier) SELECT s_suppkey, d::INTEGER AS degree, round(longitude + 50 / 69.0 / cos(radians(latitude)) * cos(radians(d)), 6) AS lon,
+    round(latitude + 50 / 69.0 * sin(radians(d)), 6) AS lat FROM s, range(361) t(d)""",
+)
+def radius_outlines(spark, sf_dir):
+    ring = geo.radius_outline("latitude", "longitude", 50.0)
+    points = located(table(spark, sf_dir, "supplier"), "s_suppkey").select("s_suppkey", F.posexplode(ring).alias("degree", "p"))
+    return points.select("s_suppkey", "degree", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+
+
 @query("geometry_from_columns", f"WITH {EV} SELECT event_id, longitude AS lon, latitude AS lat FROM ev")
 def geometry_from_columns(spark, sf_dir):
     """Columns to GeoJSON text and back to a point."""

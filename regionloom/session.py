@@ -28,6 +28,18 @@ def build_session(app: str = "regionloom", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+# a task should have at least about this much input before more tasks pay
+SMALL_TASK_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input of a compute-heavy step over all cores. Size is the optimizer's estimate: anything above
+    a few megabytes per core already comes in enough splits and is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * 16 * SMALL_TASK_BYTES else df
+
+
 def staging_folder(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where unset."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
