@@ -28,7 +28,8 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
     half_lat = F.sin(F.radians(a2 - a1) / 2)
     half_lon = F.sin(F.radians(o2 - o1) / 2)
     h = half_lat * half_lat + F.cos(F.radians(a1)) * F.cos(F.radians(a2)) * half_lon * half_lon
-    return F.asin(F.sqrt(F.least(F.lit(1.0), h))) * (2.0 * radius)
+    # not least(): it passes over NULL
+    return F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h))) * (2.0 * radius)
 
 
 def km_to_miles(c) -> Column:
@@ -108,12 +109,9 @@ def point_from_geojson(c) -> Column:
 def disc_ring(lon, lat, degrees, corners: int = 64) -> Column:
     """A disc of a radius in degrees as a counter-clockwise ring (not closed)."""
     lon, lat, size = _col(lon), _col(lat), _col(degrees)
-    step = 2 * math.pi / corners
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(corners - 1)),
-        lambda i: F.struct(
-            (lon + size * F.cos(i * step)).alias("lon"), (lat + size * F.sin(i * step)).alias("lat")
-        ),
+    angles = [2 * math.pi * i / corners for i in range(corners)]
+    return F.array(
+        *[F.struct((lon + size * math.cos(a)).alias("lon"), (lat + size * math.sin(a)).alias("lat")) for a in angles]
     )
 
 

@@ -96,13 +96,15 @@ def fourier_features(df: DataFrame, features: list[str], size: int, seed: int =
     return df.withColumn("features", array_to_vector(F.array(*waves)))
 
 
-def svm(df: DataFrame, features: list[str], target: str, size: int = 48, max_iter: int = 20, seed: int = 42):
+def svm(df: DataFrame, features: list[str], target: str, size: int = 48, max_iter: int = 10, seed: int = 42):
     """(model, predictions, metrics): RBF support vector classifier by random features and linear machines, one
     against the rest, with a logistic step from margins to probabilities. Values differ from a kernel solver."""
     indexer, rows = _prepared(df, features, target)
     waves = fourier_features(normalize(rows, features), features, size, seed).select(*rows.columns, "features").persist()
-    machine = LinearSVC(maxIter=max_iter, regParam=1e-4, standardization=False, rawPredictionCol="margins")
-    model = OneVsRest(classifier=machine, labelCol="__index", rawPredictionCol="margins").fit(waves)
+    machine = LinearSVC(labelCol="__index", maxIter=max_iter, tol=1e-4, regParam=1e-4, standardization=False, rawPredictionCol="margins")
+    if len(indexer.labels) > 2:
+        machine = OneVsRest(classifier=machine, labelCol="__index", rawPredictionCol="margins")
+    model = machine.fit(waves)
     scored = model.transform(waves).persist()
     platt = LogisticRegression(featuresCol="margins", labelCol="__index", maxIter=50, predictionCol="__p", rawPredictionCol="__r")
     predictions = _labelled(platt.fit(scored).transform(scored), indexer)

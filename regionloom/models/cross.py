@@ -49,7 +49,11 @@ def cross_analysis(df: DataFrame, by: str, groups: dict[str, list[str]], models:
     """
     pairs = [(a, b) for a in groups for b in groups if a != b]
     parts = []
-    clusters = None
+    means: dict = {}
+    if set(models) - {"linear_regression"}:
+        # k rows: the mean of every target in each cluster
+        targets = sorted({t for g in groups.values() for t in g})
+        means = {r[by]: r for r in df.groupBy(by).agg(*[F.avg(t).alias(t) for t in targets]).collect()}
     for a, b in pairs:
         for target in groups[b]:
             for model in models:
@@ -57,12 +61,10 @@ def cross_analysis(df: DataFrame, by: str, groups: dict[str, list[str]], models:
                     fit = linear_by_group(df, by, groups[a], target).select(by, "n", F.round("r2", 4).alias("score"))
                     parts.append(fit.select(by, F.lit(a).alias("from_group"), F.lit(target).alias("target"), F.lit(model).alias("model"), "n", "score"))
                     continue
-                if clusters is None:
-                    clusters = sorted(r[0] for r in df.select(by).distinct().collect())
-                for c in clusters:
-                    rows = df.where(F.col(by).eqNullSafe(F.lit(c)))
-                    mean = rows.agg(F.avg(target)).first()[0]
-                    marked = rows.withColumn("__above", F.when(F.col(target) > mean, "above").otherwise("below"))
+                for c, row in means.items():
+                    rows = df.where(F.col(by).eqNullSafe(F.lit(c)) & F.col(target).isNotNull())
+                    above = F.when(F.col(target) > F.lit(row[target]), "above").otherwise("below")
+                    marked = rows.withColumn("__above", above)
                     _, _, metrics = _CLASSIFIERS[model](marked, groups[a], "__above")
                     parts.append(
                         metrics.select(

@@ -13,10 +13,11 @@ from regionloom.operators.tables import deterministic_sample
 
 
 def _pair(a: Column, b: Column) -> Column:
-    """Pearson r over the rows where both exist; NULL where it is undefined."""
+    """Pearson r over the rows where both exist; NULL where it is undefined (``corr`` itself fails on a constant)."""
     both = a.isNotNull() & b.isNotNull()
-    spread = (F.min(F.when(both, a)) < F.max(F.when(both, a))) & (F.min(F.when(both, b)) < F.max(F.when(both, b)))
-    return F.when(spread, F.corr(a, b))
+    x, y = F.when(both, a), F.when(both, b)
+    spread = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(spread, F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))))
 
 
 def selected_correlation(df: DataFrame, variables: list[str]) -> DataFrame:
@@ -54,7 +55,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 def correlation_weights(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, weight) with the correlation of each feature to the target over complete rows."""
     full = df.dropna(subset=[*features, target])
-    wide = full.agg(*[F.corr(c, target).alias(c) for c in features])
+    wide = full.agg(*[_pair(F.col(c), F.col(target)).alias(c) for c in features])
     return wide.unpivot([], features, "feature", "weight")
 
 

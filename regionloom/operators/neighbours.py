@@ -263,7 +263,7 @@ def within_counts(
 ) -> DataFrame:
     """``left`` with the number of ``right`` rows within each radius (0 without a place)."""
     radii = sorted(radii_km)
-    names = [f"{prefix}{r:g}km" for r in radii]
+    names = [f"__within_{i}" for i in range(len(radii))]
     a, b = _prepare(places(left, lat, lon), places(right, lat, lon))
     rounds = _range_rounds(a, b, [_chord(r, earth) for r in radii], SMALL_PRODUCT, None, listing=False)
     levels = [level for level, _ in rounds]
@@ -284,8 +284,8 @@ def within_counts(
     )
     totals = through.unionByName(compared).groupBy("l_lat", "l_lon").agg(*[F.sum(n).alias(n) for n in names])
     same = (F.col(lat) == F.col("l_lat")) & (F.col(lon) == F.col("l_lon"))
-    joined = left.join(totals, same, "left").drop("l_lat", "l_lon")
-    return joined.fillna(0, subset=names)
+    counts = [F.coalesce(n, F.lit(0)).cast("bigint").alias(f"{prefix}{r:g}km") for n, r in zip(names, radii)]
+    return left.join(totals, same, "left").select(*[left[f"`{c}`"] for c in left.columns], *counts)
 
 
 def geometry_intersections(

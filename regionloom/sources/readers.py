@@ -63,7 +63,7 @@ def read_json_payloads(spark: SparkSession, path, record_path: str | None = None
 
 def read_header_arrays(spark: SparkSession, path) -> DataFrame:
     """Payloads of the form ``[[names...],[values...]]``: one map column ``record`` per file."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return parse_header_arrays(text, "value")
 
 
