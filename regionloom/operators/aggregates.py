@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from regionloom.functions import geo
 from regionloom.functions.scalars import days_between, to_numeric, to_time
 from regionloom.operators.columns import attach
+from regionloom.operators.positions import number_rows
 from regionloom.operators.quantiles import exact_quantiles
 
 
@@ -164,14 +165,7 @@ def sankey_links(obs: DataFrame, levels=("source_key", "dataset_category", "coun
     nodes = flows.select("level", F.col("source").alias("node")).union(
         flows.select(F.col("level") + 1, F.col("target"))
     ).distinct()
-    per_level = nodes.groupBy("level").agg(F.count(F.lit(1)).alias("c"))
-    # one row per level: the running count of nodes in the levels before
-    before = Window.partitionBy(F.lit(0)).orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_level.select("level", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    rank = Window.partitionBy("level").orderBy("node")
-    ids = nodes.join(offsets, "level").select(
-        "level", "node", (F.col("offset") + F.row_number().over(rank) - 1).cast("bigint").alias("node_id")
-    )
+    ids = number_rows(nodes, ["level", "node"], name="node_id")
     a = ids.select("level", F.col("node").alias("source"), F.col("node_id").alias("source_id"))
     b = ids.select((F.col("level") - 1).alias("level"), F.col("node").alias("target"), F.col("node_id").alias("target_id"))
     return flows.join(a, ["level", "source"]).join(b, ["level", "target"]).select(

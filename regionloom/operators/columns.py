@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 
 from regionloom.functions import geo
 from regionloom.functions.scalars import blank_to_null, epoch_seconds, title_label, to_numeric, to_time, to_year
-from regionloom.operators.positions import ROW_ID, number_rows
+from regionloom.operators.positions import ROW_ID, number_rows, row_test
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
@@ -69,6 +69,13 @@ def map_column(df: DataFrame, column: str, func, new: str | None = None) -> Data
     return df.withColumn(new or column, func(F.col(column)))
 
 
+def map_rows(df: DataFrame, column: str, func, rows, order_by) -> DataFrame:
+    """(__row_id__, value): a column through ``func`` for a selection of row positions (or ``"all"``)."""
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    numbered = number_rows(df.select(*dict.fromkeys([*order, column])), order)
+    return numbered.where(row_test(rows)).select(ROW_ID, func(F.col(column)).alias("value"))
+
+
 # ---------------------------------------------------------------- derived columns
 
 _AGGREGATE_CALL = re.compile(r"\b(mean|avg|sum|min|max|count|std|stddev|median)\(\s*(?:(\w+)\[)?(\w+)\]?\s*\)", re.I)

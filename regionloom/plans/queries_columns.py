@@ -234,6 +234,21 @@ def mapped_column(spark, sf_dir):
     return wide.select("p_partkey", "p_name", F.round("metres", 4).alias("metres"))
 
 
+@query(
+    "mapped_rows",
+    "SELECT r AS __row_id__, c_acctbal * 2 + 1 AS value FROM (SELECT c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer) WHERE r >= 10 AND r < 1200",
+)
+def mapped_rows(spark, sf_dir):
+    """A vectorized Python function over a selection of rows."""
+    import pandas as pd
+
+    @F.pandas_udf(T.DoubleType())
+    def double_and_one(v: pd.Series) -> pd.Series:
+        return v * 2 + 1
+
+    return columns.map_rows(table(spark, sf_dir, "customer"), "c_acctbal", double_and_one, "10..1200", "c_custkey")
+
+
 @query("remove_and_exclude_columns", "SELECT s_suppkey, s_acctbal FROM supplier")
 def remove_and_exclude_columns(spark, sf_dir):
     return columns.exclude_columns(columns.remove_column(table(spark, sf_dir, "supplier"), "s_name"), ["s_nationkey", "absent"])

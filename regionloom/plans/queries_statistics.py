@@ -399,7 +399,8 @@ def profile_file_layout(spark, sf_dir):
 
 @query(
     "matching_column_types",
-    "SELECT 'customer' AS source_key, 'c_mktsegment' AS name, 'categorical' AS inferred_type WHERE (SELECT count(DISTINCT c_mktsegment) FROM customer) < 50 UNION ALL SELECT 'orders', unnest(['o_orderstatus', 'o_orderpriority']), 'categorical' WHERE (SELECT count(*) FROM orders) > 0 UNION ALL SELECT 'customer', 'c_nationkey', 'categorical' WHERE (SELECT count(DISTINCT c_nationkey) FROM customer) < 50",
+    """SELECT 'customer' AS source_key, c AS name, 'categorical' AS inferred_type FROM (SELECT unnest(['c_mktsegment', 'c_nationkey']) AS c, unnest([count(DISTINCT c_mktsegment), count(DISTINCT c_nationkey)]) AS d, count(*) AS n FROM customer) WHERE d < 50 AND d / n < 0.1
+    UNION ALL SELECT 'orders', c, 'categorical' FROM (SELECT unnest(['o_orderstatus', 'o_orderpriority']) AS c, unnest([count(DISTINCT o_orderstatus), count(DISTINCT o_orderpriority)]) AS d, count(*) AS n FROM orders) WHERE d < 50 AND d / n < 0.1""",
 )
 def matching_column_types(spark, sf_dir):
     named = {k: table(spark, sf_dir, k) for k in ("customer", "orders")}

@@ -35,6 +35,8 @@ SMALL_TASK_BYTES = 1 << 20
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small input of a compute-heavy step over all cores. Size is the optimizer's estimate: anything above
     a few megabytes per core already comes in enough splits and is left as it is, without a shuffle."""
+    if not hasattr(df, "_jdf"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * 16 * SMALL_TASK_BYTES else df
