@@ -94,7 +94,7 @@ def spectrum(df: DataFrame, key: str, t: str, y: str, longest: int = 65_536) ->
     known = df.where(F.col(y).isNotNull()).select(F.col(key).alias("key"), F.col(t).alias("t"), F.col(y).cast("double").alias("y"))
     kind = dict(known.dtypes)["key"]
     numbered = number_rows(known, ["t"], by=["key"], name="i")
-    sizes = known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    sizes = stage(known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 4"))
     sized = numbered.join(sizes, "key").select("key", "n", "i", "y")
     short = sized.where(F.col("n") <= longest).groupBy("key").applyInPandas(
         _half_spectrum, f"key {kind}, n bigint, k bigint, re double, im double"
@@ -176,7 +176,7 @@ def _least_squares(rows: DataFrame, y: str, regressors: list[str], kind: str) ->
     sums = [F.sum(F.col(regressors[a]) * F.col(regressors[b])).alias(f"a_{a}_{b}") for a in range(width) for b in range(a, width)]
     sums += [F.sum(F.col(regressors[a]) * F.col(y)).alias(f"b_{a}") for a in range(width)]
     table = rows.where(complete).groupBy("key").agg(*sums, F.count(F.lit(1)).alias("m"), F.sum(F.col(y) * F.col(y)).alias("yy"))
-    return table.mapInPandas(_solve_batches(width, ["m", "yy"]), f"key {kind}, coef array<double>, m bigint, yy double")
+    return stage(table.mapInPandas(_solve_batches(width, ["m", "yy"]), f"key {kind}, coef array<double>, m bigint, yy double"))
 
 
 def _apply(coef: str, regressors: list[str]):

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from regionloom.functions.scalars import to_numeric
+from regionloom.session import stage
 
 
 def _edge_digits(x: Column) -> Column:
@@ -45,16 +46,22 @@ def bin_edges(long: DataFrame, bins: int, by: list[str]) -> DataFrame:
     """Per group: the edges as used and as shown, and min(bins, distinct values) bins with their labels."""
     # A sketch of at most n values never reports noticeably more than n, so a report well above ``bins`` settles that
     # there are enough values. Only the groups below it are counted exactly, and those have few values to shuffle.
-    stats = long.groupBy(*by).agg(
-        F.min("value").alias("__low"), F.max("value").alias("__high"), F.approx_count_distinct("value").alias("__about")
+    stats = stage(
+        long.groupBy(*by).agg(
+            F.min("value").alias("__low"), F.max("value").alias("__high"), F.approx_count_distinct("value").alias("__about")
+        )
     )
     few = stats.where(F.col("__about") <= 2 * bins + 8).select(*by)
-    values = long.join(few, by, "left_semi").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("__w"))
-    exact = values.groupBy(*by).agg(F.count(F.lit(1)).alias("__d"))
-    count = F.least(F.lit(bins), F.coalesce(F.col("__d"), F.lit(bins)).cast("int"))
-    edged = stats.join(exact, by, "left").select(*by, count.alias("__bins"), _edges(F.col("__low"), F.col("__high"), count).alias("__edges"))
+    counted = stats.withColumn("__d", F.lit(bins))
+    if not few.isEmpty():
+        values = long.join(few, by, "left_semi").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("__w"))
+        exact = values.groupBy(*by).agg(F.count(F.lit(1)).alias("__d"))
+        counted = stats.join(exact, by, "left").withColumn("__d", F.coalesce(F.col("__d"), F.lit(bins)))
+    count = F.least(F.lit(bins), F.col("__d").cast("int"))
+    edged = counted.select(*by, count.alias("__bins"), _edges(F.col("__low"), F.col("__high"), count).alias("__edges"))
     shown = edged.withColumn("__shown", F.transform("__edges", _edge_digits))
-    return shown.withColumn("__labels", _labels("__shown"))
+    # staged: used more than once, and its true size lets Spark broadcast it to the rows
+    return stage(shown.withColumn("__labels", _labels("__shown")))
 
 
 def bin_number(value: Column, edges: Column, bins: Column) -> Column:

@@ -29,11 +29,13 @@ def number_rows(df: DataFrame, order_by, by=(), name: str = ROW_ID) -> DataFrame
     rows = _sorted_table(df, order_by, by)
     parts = rows.groupBy(*by, "__p__").agg(F.count(F.lit(1)).alias("__n__"), F.min("__i__").alias("__first__"))
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__p__").rowsBetween(Window.unboundedPreceding, -1)
+    # staged: with its true size known, Spark broadcasts it where it is small instead of shuffling the rows
     starts = parts.select(
         *[F.col(c).alias(f"__key_{c}") for c in by],
         F.col("__p__").alias("__q__"),
         (F.coalesce(F.sum("__n__").over(earlier), F.lit(0)) - F.col("__first__")).alias("__shift__"),
     )
+    starts = stage(starts)
     match = F.col("__p__") == F.col("__q__")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"__key_{c}"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from regionloom.operators.positions import _sorted_table
+from regionloom.session import stage
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: list[float], by=()) -> DataFrame:
@@ -32,6 +33,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: list[float], by=()) ->
     wanted = starts.select("*", F.inline(ranks)).where(
         (F.floor("h") < F.col("__before__") + F.col("__n__")) & (F.ceil("h") >= F.col("__before__"))
     )
+    wanted = stage(wanted.select(*by, "__p__", "__before__", "q", "h"))
     # only partitions that hold a wanted rank go on
     here = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, "__p__"]]
     test = here[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from regionloom.functions import geo, scalars
@@ -240,7 +241,6 @@ def mapped_column(spark, sf_dir):
 )
 def mapped_rows(spark, sf_dir):
     """A vectorized Python function over a selection of rows."""
-    import pandas as pd
 
     @F.pandas_udf(T.DoubleType())
     def double_and_one(v: pd.Series) -> pd.Series:
