@@ -78,10 +78,7 @@ def currency(c) -> Column:
 
 def looks_numeric(c) -> Column:
     """True when the text is digits after dropping one dot and one minus, wherever they stand."""
-    text = as_col(c).cast("string")
-    no_dot = F.regexp_replace(text, r"^([^.]*)\.", "$1")
-    no_minus = F.regexp_replace(no_dot, r"^([^-]*)-", "$1")
-    return no_minus.rlike("^[0-9]+$")
+    return as_col(c).cast("string").rlike(r"^(?=.*[0-9])([0-9]*\.?[0-9]*-?[0-9]*|[0-9]*-?[0-9]*\.?[0-9]*)$")
 
 
 def title_label(c, names: dict[str, str] | None = None) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from regionloom.functions.scalars import to_numeric
-from regionloom.session import stage
+from regionloom.session import spread, stage
 
 
 def _edge_digits(x: Column) -> Column:
@@ -65,14 +65,18 @@ def bin_edges(long: DataFrame, bins: int, by: list[str]) -> DataFrame:
 
 
 def bin_number(value: Column, edges: Column, bins: Column) -> Column:
-    """Number (0 based) of the right-closed bin: how many inner edges lie strictly below the value."""
-    below = F.aggregate(edges, F.lit(0), lambda acc, e: acc + F.when(e < value, 1).otherwise(0))
-    return F.least(F.greatest(below - 1, F.lit(0)), bins - 1)
+    """Number (0 based) of the right-closed bin: the equal width gives it to within one, the edges decide."""
+    first, last = F.get(edges, F.lit(0)), F.get(edges, bins)
+    guess = F.floor((value - first) / ((last - first) / bins)).cast("int")
+    guess = F.when(guess < 0, 0).when(guess >= bins, bins - 1).otherwise(guess)
+    lower = F.when((guess > 0) & (value <= F.get(edges, guess)), -1).otherwise(0)
+    higher = F.when((guess < bins - 1) & (value > F.get(edges, guess + 1)), 1).otherwise(0)
+    return guess + lower + higher
 
 
 def long_values(df: DataFrame, variables: list[str], by: list[str]) -> DataFrame:
     present = [v for v in variables if v in df.columns]
-    wide = df.select(*by, *[to_numeric(v).alias(v) for v in present])
+    wide = spread(df.select(*by, *[to_numeric(v).alias(v) for v in present]))
     return wide.unpivot(by, present, "variable", "value").where("value IS NOT NULL")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from regionloom.functions.scalars import looks_numeric, unit_suffix
 from regionloom.operators.columns import attach
+from regionloom.session import spread
 
 # Name patterns, tested in the order of ``_rules``.
 GEO_NAME = r"(?i)(lat|lon|y_coord|x_coord)"
@@ -27,18 +28,26 @@ def _facts(df: DataFrame, exact: bool) -> DataFrame:
     distincts: list[Column] = []
     for i, field in enumerate(df.schema.fields):
         raw = F.col(f"`{field.name}`")
-        number = isinstance(field.dataType, T.NumericType)
-        text = raw if isinstance(field.dataType, T.StringType) else raw.cast("string")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        kind = field.dataType
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
             present = raw.isNotNull() & ~F.isnan(raw)
-        elif isinstance(field.dataType, T.StringType):
+        elif isinstance(kind, T.StringType):
             present = raw.isNotNull() & (raw != "")
         else:
             present = raw.isNotNull()
-        value = F.when(present, text if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)) else raw)
-        like_number = present & (looks_numeric(text) if not number else F.lit(True))
-        plain_number = F.when(present & looks_numeric(text), text.try_cast("double"))
-        money = present & text.startswith("$") if isinstance(field.dataType, T.StringType) else F.lit(False)
+        value = F.when(present, raw.cast("string") if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else raw)
+        money = like_number = F.lit(False)
+        plain_number = F.lit(None).cast("double")
+        if isinstance(kind, T.StringType):
+            like_number = present & looks_numeric(raw)
+            plain_number = F.when(like_number, raw.try_cast("double"))
+            money = present & raw.startswith("$")
+        elif isinstance(kind, (T.NumericType, T.BooleanType)):
+            like_number = present
+            if not isinstance(kind, T.BooleanType):
+                # numbers whose usual text has an exponent do not look like plain digits
+                size = F.abs(raw.cast("double"))
+                plain_number = F.when(present & ((size == 0) | size.between(1e-4, 9.999999999999999e15)), raw.cast("double"))
         if exact:
             distincts.append(F.count_distinct(value).alias(f"unique_{i}"))
         else:
@@ -111,7 +120,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     ``exact=False`` estimates the distinct counts, which saves the shuffle of all values on very wide or large tables.
     """
     kind, tag = _rules()
-    return _facts(df, exact).select(
+    return _facts(spread(df), exact).select(
         "name", kind.alias("inferred_type"), tag.alias("inferred_unit_tag"), "null_count", "unique_values"
     )
 
