@@ -64,14 +64,20 @@ def bin_edges(long: DataFrame, bins: int, by: list[str]) -> DataFrame:
     return stage(shown.withColumn("__labels", _labels("__shown")))
 
 
-def bin_number(value: Column, edges: Column, bins: Column) -> Column:
-    """Number (0 based) of the right-closed bin: the equal width gives it to within one, the edges decide."""
+def with_bin(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add the number (0 based) of the right-closed bin: the equal width gives it to within one, the edges decide.
+
+    In steps, so that each expression is planned once instead of being repeated inside the next.
+    """
+    edges, bins = F.col("__edges"), F.col("__bins")
     first, last = F.get(edges, F.lit(0)), F.get(edges, bins)
-    guess = F.floor((value - first) / ((last - first) / bins)).cast("int")
-    guess = F.when(guess < 0, 0).when(guess >= bins, bins - 1).otherwise(guess)
-    lower = F.when((guess > 0) & (value <= F.get(edges, guess)), -1).otherwise(0)
-    higher = F.when((guess < bins - 1) & (value > F.get(edges, guess + 1)), 1).otherwise(0)
-    return guess + lower + higher
+    x, g = F.col("__x"), F.col("__g")
+    df = df.withColumn("__x", value)
+    df = df.withColumn("__g", F.floor((x - first) / ((last - first) / bins)).cast("int"))
+    df = df.withColumn("__g", F.when(g < 0, 0).when(g >= bins, bins - 1).otherwise(g))
+    lower = F.when((g > 0) & (x <= F.get(edges, g)), -1).otherwise(0)
+    higher = F.when((g < bins - 1) & (x > F.get(edges, g + 1)), 1).otherwise(0)
+    return df.withColumn(name, g + lower + higher).drop("__x", "__g")
 
 
 def long_values(df: DataFrame, variables: list[str], by: list[str]) -> DataFrame:
@@ -85,8 +91,9 @@ def frequency_bins(df: DataFrame, variables: list[str], bins: int = 5, by: str =
     keys = [by, "variable"]
     long = long_values(df, variables, [by])
     edges = bin_edges(long, bins, keys)
-    number = bin_number(F.col("value"), F.col("__edges"), F.col("__bins"))
-    counts = long.join(edges, keys).groupBy(*keys, number.alias("bin")).agg(F.count(F.lit(1)).alias("__n"))
+    counted = with_bin(long.join(edges, keys), F.col("value"), "bin").groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per bin; staged, so that the outer join below does not push its conditions into the row expressions
+    counts = stage(counted)
     all_bins = edges.select(*keys, "__shown", "__labels", F.explode(F.sequence(F.lit(0), F.col("__bins") - 1)).alias("bin"))
     framed = all_bins.select(
         *keys,
@@ -114,6 +121,5 @@ def distribution(df: DataFrame, variable: str, bins: int = 10) -> DataFrame:
 def distribution_bin(df: DataFrame, variable: str, bins: int = 5, by: str = "source_key", new: str = "bin_label") -> DataFrame:
     """The label of its bin on every row (NULL without a value)."""
     edges = bin_edges(long_values(df, [variable], [by]), bins, [by, "variable"]).drop("variable")
-    number = bin_number(to_numeric(variable), F.col("__edges"), F.col("__bins"))
-    label = F.when(to_numeric(variable).isNotNull(), F.get("__labels", number))
-    return df.join(edges, by, "left").withColumn(new, label).select(*df.columns, new)
+    numbered = with_bin(df.join(edges, by, "left"), to_numeric(variable), "__bin")
+    return numbered.withColumn(new, F.get("__labels", F.col("__bin"))).select(*df.columns, new)
