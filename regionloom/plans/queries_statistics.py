@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regionloom.functions import geo
-from regionloom.operators import aggregates, bins, columns, correlation, joins, profiling, sampling, tables
+from regionloom.operators import aggregates, bins, correlation, joins, profiling, sampling
 from regionloom.operators.quantiles import exact_quantiles
 from regionloom.plans.registry import query
 from regionloom.plans.views import CENTRE, EV, OBS, distance_sql, events, observations, table, with_distance
