@@ -29,3 +29,10 @@ def op1_mixing(spark, sf_dir):
     from regionloom.llm.mixing import mixture
 
     return mixture(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark, sf_dir):
+    from regionloom.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -139,3 +139,40 @@ def sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums by row as integers (counts) or floats."""
     total = np.bincount(rows, weights=values, minlength=n)
     return total.astype(np.int64) if values.dtype.kind in "bui" else total
+
+
+def by_slices(df, text: str, function, schema: str, most: int = SLICE_BYTES):
+    """``df`` through ``function(record batch, Texts) -> record batch or list of them``, slice by slice, in Arrow tasks."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text, most):
+                made = function(part, Texts(part.column(part.schema.get_field_index(text))))
+                yield from made if isinstance(made, list) else [made]
+
+    return df.mapInArrow(run, schema)
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Marks entries whose key another entry has too."""
+    marks = np.zeros(len(keys), bool)
+    if len(keys) > 1:
+        order = np.argsort(keys)
+        same = keys[order][1:] == keys[order][:-1]
+        marks[order[1:]] |= same
+        marks[order[:-1]] |= same
+    return marks
+
+
+def later(keys: np.ndarray) -> np.ndarray:
+    """Marks entries whose key an earlier entry has too."""
+    marks = np.zeros(len(keys), bool)
+    if len(keys) > 1:
+        order = np.argsort(keys, kind="stable")
+        marks[order[1:]] = keys[order][1:] == keys[order][:-1]
+    return marks
+
+
+def within(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Keys that are equal only for equal hashes of the same row."""
+    return mixed(hashes + mixed(rows.astype(np.uint64) + np.uint64(1)))
