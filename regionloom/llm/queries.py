@@ -36,3 +36,12 @@ def op10_quality_rules(spark, sf_dir):
     from regionloom.llm.quality_rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_line_crf")
+def op4_line_crf(spark, sf_dir):
+    from regionloom.llm.line_crf import line_field_quality
+
+    rest = F.crc32(F.col("__id").cast("string")) % 4
+    scored = line_field_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_where=rest != 2)
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted")
