@@ -45,3 +45,10 @@ def op4_line_crf(spark, sf_dir):
     rest = F.crc32(F.col("__id").cast("string")) % 4
     scored = line_field_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_where=rest != 2)
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark, sf_dir):
+    from regionloom.llm.fingerprints import edits_and_successors
+
+    return edits_and_successors(table(spark, sf_dir, "documents"))
