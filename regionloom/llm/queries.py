@@ -52,3 +52,10 @@ def op8_fingerprints(spark, sf_dir):
     from regionloom.llm.fingerprints import edits_and_successors
 
     return edits_and_successors(table(spark, sf_dir, "documents"))
+
+
+@query("op5_prob_minhash")
+def op5_prob_minhash(spark, sf_dir):
+    from regionloom.llm.prob_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
