@@ -59,3 +59,12 @@ def op5_prob_minhash(spark, sf_dir):
     from regionloom.llm.prob_minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_context_mixing")
+def op3_context_mixing(spark, sf_dir):
+    from regionloom.llm.context_mixing import context_mixing
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    scored = context_mixing(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)
