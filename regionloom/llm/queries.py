@@ -68,3 +68,10 @@ def op3_context_mixing(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     scored = context_mixing(table(spark, sf_dir, "documents"), ~held_out)
     return scored.withColumn("held_out", held_out)
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    from regionloom.llm.suffix_dedup import repeated_strings
+
+    return repeated_strings(table(spark, sf_dir, "documents"))
