@@ -75,3 +75,17 @@ def op6_suffix_dedup(spark, sf_dir):
     from regionloom.llm.suffix_dedup import repeated_strings
 
     return repeated_strings(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pieces")
+def op7_pieces(spark, sf_dir):
+    from regionloom.llm.pieces import decode, encode
+
+    encoded = decode(encode(table(spark, sf_dir, "documents")))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "score",
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
