@@ -127,3 +127,30 @@ def op2_line_templates(spark, sf_dir):
     kept = without_recurring_lines(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
+
+
+def _op9() -> str:
+    from regionloom.llm.licenses import CONTAINED, TEMPLATES, size_class
+
+    values = ", ".join(f"('{k}', '{t}', {size_class(t)})" for k, t in TEMPLATES.items())
+    runs = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))"
+    return rf"""
+WITH known AS (SELECT license, size_class, list_distinct({runs}) AS template FROM (
+  SELECT license, size_class, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {values}) AS v(license, t, size_class))),
+held AS (SELECT doc_id, {runs} AS s FROM (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents) WHERE len(w) >= 5),
+near AS (SELECT doc_id, s, license, size_class, template FROM held, known WHERE list_has_any(s, template)),
+windows AS (SELECT doc_id, license, template, a, s[a + 1:a + 2 * size_class] AS win FROM (
+  SELECT *, unnest(range(0, len(s), size_class)) AS a FROM near)),
+found AS (SELECT doc_id, license, len(list_intersect(win, template)) / CAST(len(template) AS DOUBLE) AS share,
+  a + list_position(list_transform(win, lambda x: list_contains(template, x)), true) - 1 AS first FROM windows)
+SELECT doc_id, license, max(share) AS containment, min(first) AS first_word, count(*) AS n_windows
+FROM found WHERE share >= {CONTAINED} GROUP BY doc_id, license
+"""
+
+
+@query("op9_licenses", _op9())
+def op9_licenses(spark, sf_dir):
+    from regionloom.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
