@@ -4,12 +4,47 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from regionloom.llm import line_crf, line_templates, mixing, pieces, prob_minhash
 from regionloom.session import staging_folder
 
-STAGES = []
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field, fitted on the labels of the folder, predicts to be good."""
+    return line_crf.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of recurring templates; ``n_chars`` counts what is left."""
+    kept = line_templates.without_recurring_lines(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near duplicates."""
+    return prob_minhash.without_near_duplicates(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture of the sources; a document comes as often as the mixture takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece numbers of each row."""
+    return pieces.encode(docs).withColumn("n_pieces", F.size("ids"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mixing", source_mixing),
+    ("pieces", encoding),
+]
+
+# models and signatures are beyond SQL; the tests compare the stages with brute force
 ORACLE_SQL = None
 
 
