@@ -35,6 +35,7 @@ WIDTH = 50
 ANCHOR = 20
 GROUP_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
+FINER = 8
 _NONE = np.uint64((1 << 64) - 1)
 _BITS = np.uint64(1)
 
@@ -334,7 +335,8 @@ def repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     entries = rows.mapInArrow(_anchors(buckets, width), "bucket int, keys binary, stretches binary, least long, documents binary")
     answers = stage(entries.groupBy("bucket").applyInPandas(_answers(groups), "g long, repeats binary, asked binary"))
     zipped = rows.mapInArrow(_zipped(groups), "g long, id long, n_bytes long, data binary")
-    first = zipped.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(_first_answers(buckets, width), _SCHEMA)
+    # sorting suffixes takes many times their bytes, so stretches in question are dealt out finer
+    first = zipped.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(_first_answers(FINER * buckets, width), _SCHEMA)
     first = stage(first)
     asked = first.where("kind = 2").groupBy("g").applyInPandas(_compared(groups, width), "g long, pairs binary, bits binary")
     asked = stage(asked)
