@@ -35,6 +35,7 @@ SEGMENT = 1 << 12
 #: By gate (word path, first three bytes of a word, later bytes): the weights of the predictors at the start of a text.
 START_WEIGHTS = ((0.85, 0.15, 0.25), (0.2, 0.4, 0.55), (0.2, 0.4, 0.55))
 GATES = len(START_WEIGHTS)
+SLICE = 1 << 19
 RATE = 1.5
 REFINED = 33
 
@@ -187,14 +188,14 @@ def _counting(code: dict):
         counts = np.zeros(starts[-1], np.uint32)
         for batch in batches:
             batch = batch.filter(batch.column(1))
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words = Words(Texts(part.column(0)), code.value)
                 often = np.repeat(np.bincount(words.token, minlength=len(words.n_steps)).astype(_U), words.n_steps)[words.spelled]
                 bit = words.bit[words.spelled].astype(_U)
                 for k in range(3):
                     np.add.at(counts[starts[k] : starts[k + 1]], words.slots[k] * _U(2) + bit, often)
-                for a in range(0, len(words.token), 1 << 16):
-                    tokens = np.arange(a, min(a + (1 << 16), len(words.token)))
+                for a in range(0, len(words.token), 1 << 15):
+                    tokens = np.arange(a, min(a + (1 << 15), len(words.token)))
                     word = words.token[tokens]
                     n = words.gate_steps[word, 0]
                     steps = _ranges(words.first_step[word], n)
@@ -345,7 +346,7 @@ def context_mixing(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text:
         )
 
     kind = dict(rows.dtypes)["id"]
-    scored = by_slices(rows, "text", score, f"id {kind}, digest long, score double, bits_per_byte double", 1 << 19)
+    scored = by_slices(rows, "text", score, f"id {kind}, digest long, score double, bits_per_byte double", SLICE)
     counted = counts.scores().dropDuplicates(["id", "digest"]).withColumnsRenamed({"id": "__id", "digest": "__digest"})
     joined = scored.join(counted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
     return joined.select(F.col("id").alias(doc_id), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -149,6 +149,7 @@ def by_slices(df, text: str, function, schema: str, most: int = SLICE_BYTES):
             for part in slices(batch, text, most):
                 made = function(part, Texts(part.column(part.schema.get_field_index(text))))
                 yield from made if isinstance(made, list) else [made]
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from regionloom.llm.text import Rolling, Texts, slices
 from regionloom.session import stage
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -49,9 +50,10 @@ def _packer(buckets: int):
 
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", CHUNK_BYTES):
                 yield pack(part, Texts(part.column(1)).lowered(), chunk)
                 chunk += 1
+            pa.default_memory_pool().release_unused()
 
     def pack(part: pa.RecordBatch, texts: Texts, chunk: int) -> pa.RecordBatch:
         starts, ends = texts.words()
@@ -169,7 +171,8 @@ class TokenCounts:
     def vocabulary(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes (ascending) and counts of all words that are more frequent than a limit, which ``frequent`` of them pass at most.
 
-        The limit comes from a histogram of counts, in steps of an eighth of a power of two.
+        The limit comes from a histogram of counts, in steps of an eighth of a power of two. Words seen once never pass:
+        how many they are tells how often a word that was never seen comes.
         """
         blobs = self.partial.where("length(top) > 0").select("top", "often")
 
@@ -186,7 +189,7 @@ class TokenCounts:
         limit, total = 1 << 30, 0
         for step, n in sorted(found, reverse=True):
             total += n
-            if total > self.frequent:
+            if total > self.frequent or step < 8:
                 break
             limit = step
 
