@@ -22,9 +22,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else F.lit(float(c))
 
 
+def _known(c) -> Column:
+    """A coordinate; NaN is missing. (In Spark NaN is larger than any number, so it would pass comparisons.)"""
+    return F.when(~F.isnan(_col(c)), _col(c)) if isinstance(c, (Column, str)) else _col(c)
+
+
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
-    """Great-circle distance in the unit of ``radius``. Arguments: columns, column names or numbers."""
-    a1, o1, a2, o2 = (_col(c) for c in (lat1, lon1, lat2, lon2))
+    """Great-circle distance in the unit of ``radius``; NULL where a coordinate is NULL or NaN. Arguments: columns, column
+    names or numbers."""
+    a1, o1, a2, o2 = (_known(c) for c in (lat1, lon1, lat2, lon2))
     half_lat = F.sin(F.radians(a2 - a1) / 2)
     half_lon = F.sin(F.radians(o2 - o1) / 2)
     h = half_lat * half_lat + F.cos(F.radians(a1)) * F.cos(F.radians(a2)) * half_lon * half_lon

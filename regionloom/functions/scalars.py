@@ -21,10 +21,12 @@ def as_col(c) -> Column:
 
 def to_numeric(c) -> Column:
     """Double, or NULL for anything that is not a number (NaN too)."""
-    return _no_nan(as_col(c).try_cast("double"))
+    return known(as_col(c).try_cast("double"))
 
 
-def _no_nan(c: Column) -> Column:
+def known(c) -> Column:
+    """A number, with NaN as NULL."""
+    c = as_col(c)
     return F.when(~F.isnan(c), c)
 
 
@@ -73,7 +75,7 @@ def at_least(c, floor: float) -> Column:
 
 def currency(c) -> Column:
     """``$1,234.50`` as a double."""
-    return _no_nan(F.regexp_replace(F.trim(as_col(c).cast("string")), "[$,]", "").try_cast("double"))
+    return known(F.regexp_replace(F.trim(as_col(c).cast("string")), "[$,]", "").try_cast("double"))
 
 
 def looks_numeric(c) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from regionloom.functions.scalars import entropy
 from regionloom.operators.columns import attach, complete_cases, normalize
-from regionloom.session import spread
+from regionloom.session import stage
 
 
 def confusion_matrix(predictions: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -58,7 +58,8 @@ def classification_metrics(predictions: DataFrame, label: str, prediction: str,
 
 
 def _prepared(df: DataFrame, features: list[str], target: str):
-    rows = spread(complete_cases(df, [*features, target])).withColumn("__label", F.col(target).cast("string"))
+    rows = complete_cases(df, [*features, target]).withColumn("__label", F.col(target).cast("string"))
+    rows = stage(rows)
     indexer = StringIndexer(inputCol="__label", outputCol="__index", stringOrderType="alphabetAsc").fit(rows)
     return indexer, indexer.transform(rows)
 
@@ -71,12 +72,11 @@ def _labelled(predictions: DataFrame, indexer) -> DataFrame:
 def logistic_regression(df: DataFrame, features: list[str], target: str, max_iter: int = 500):
     """(model, predictions, metrics): multinomial logistic regression with an L2 penalty equal to C = 1."""
     indexer, rows = _prepared(df, features, target)
-    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(rows).persist()
-    n = assembled.count()
+    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    n = rows.count()
     model = LogisticRegression(
         labelCol="__index", maxIter=max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False
     ).fit(assembled)
-    assembled.unpersist()
     predictions = _labelled(model.transform(assembled), indexer)
     return model, predictions, classification_metrics(predictions, "__label", "predicted_label", "probability")
 
@@ -96,17 +96,17 @@ def fourier_features(df: DataFrame, features: list[str], size: int, seed: int =
     return df.withColumn("features", array_to_vector(F.array(*waves)))
 
 
-def svm(df: DataFrame, features: list[str], target: str, size: int = 48, max_iter: int = 10, seed: int = 42):
+def svm(df: DataFrame, features: list[str], target: str, size: int = 48, max_iter: int = 1000, seed: int = 42):
     """(model, predictions, metrics): RBF support vector classifier by random features and linear machines, one
     against the rest, with a logistic step from margins to probabilities. Values differ from a kernel solver."""
     indexer, rows = _prepared(df, features, target)
-    waves = fourier_features(normalize(rows, features), features, size, seed).select(*rows.columns, "features").persist()
+    waves = fourier_features(normalize(rows, features), features, size, seed).select(*rows.columns, "features")
     machine = LinearSVC(labelCol="__index", maxIter=max_iter, tol=1e-4, regParam=1e-4, standardization=False, rawPredictionCol="margins")
     if len(indexer.labels) > 2:
         machine = OneVsRest(classifier=machine, labelCol="__index", rawPredictionCol="margins")
     model = machine.fit(waves)
-    scored = model.transform(waves).persist()
-    platt = LogisticRegression(featuresCol="margins", labelCol="__index", maxIter=50, predictionCol="__p", rawPredictionCol="__r")
+    scored = model.transform(waves)
+    platt = LogisticRegression(featuresCol="margins", labelCol="__index", maxIter=1000, predictionCol="__p", rawPredictionCol="__r")
     predictions = _labelled(platt.fit(scored).transform(scored), indexer)
     return model, predictions, classification_metrics(predictions, "__label", "predicted_label", "probability")
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from regionloom.operators.columns import complete_cases, normalize
-from regionloom.session import spread
+from regionloom.session import stage
 
 
 @dataclass
@@ -20,35 +19,72 @@ class Clusters:
     centers: list[list[float]]
     inertia: float
     silhouette: float
+    iterations: int = 0
+
+
+def _assigned(rows: DataFrame, features: list[str], centers: list[list[float]]) -> DataFrame:
+    """Nearest centre (the first of equals) and the square of its distance."""
+    squares = F.array(
+        *[sum(((F.col(f) - F.lit(c)) * (F.col(f) - F.lit(c)) for f, c in zip(features, center)), F.lit(0.0)) for center in centers]
+    )
+    with_squares = rows.withColumn("__squares", squares).withColumn("__square", F.array_min("__squares"))
+    nearest = (F.array_position("__squares", F.col("__square")) - 1).cast("int")
+    return with_squares.withColumn("cluster", nearest).drop("__squares")
+
+
+def _lloyd(rows: DataFrame, features: list[str], k: int, seed: int) -> tuple[list[list[float]], float, int]:
+    """Centres, inertia and rounds until the centres stay (to nine digits) or the inertia no longer falls.
+
+    The start is the ``k`` distinct points with the smallest hashes of their raw values, so it does not depend on the
+    partitions.
+    """
+    raw = [f"__raw_{f}" for f in features]
+    points = rows.select(*features, *raw).dropDuplicates(raw)
+    start = points.orderBy(F.xxhash64(F.lit(seed), *raw), *raw).limit(k).collect()
+    centers = sorted([float(r[f]) for f in features] for r in start)
+    least, rounds = float("inf"), 0
+    while True:
+        sums = _assigned(rows, features, centers).groupBy("cluster").agg(
+            F.sum("__square").alias("__s"), *[F.avg(f).alias(f) for f in features]
+        ).collect()
+        rounds += 1
+        moved = list(centers)
+        for r in sums:
+            moved[r["cluster"]] = [round(float(r[f]), 9) for f in features]
+        inertia = sum(sorted(r["__s"] for r in sums))
+        if moved == centers or inertia >= least * (1 - 1e-12):
+            return centers, float(inertia), rounds
+        centers, least = moved, inertia
 
 
 def kmeans(df: DataFrame, features: list[str], k: int = 6, scale: bool = True, seed: int = 42, keep=()) -> Clusters:
-    """Labels (column ``cluster``) beside the raw features, centers (6 digits), inertia and silhouette.
+    """Labels (column ``cluster``) beside the raw features, centers (6 digits), inertia, silhouette and rounds.
 
+    Lloyd's steps run until they settle; ``iterations`` tells how many it took.
     The silhouette is Spark's simplified one with squared Euclidean distance. k is at most the number of rows.
     """
-    rows = complete_cases(spread(df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features])), features)
+    rows = complete_cases(df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features]), features)
     raw = rows.withColumns({f"__raw_{f}": F.col(f) for f in features})
     scaled = normalize(raw, features) if scale else raw
-    vectors = VectorAssembler(inputCols=features, outputCol="features").transform(scaled).persist()
-    n = vectors.count()
+    scaled = stage(scaled)
+    n = scaled.count()
     if n == 0:
-        return Clusters(0, vectors.withColumn("cluster", F.lit(None).cast("int")), [], 0.0, 0.0)
+        return Clusters(0, scaled.withColumn("cluster", F.lit(None).cast("int")), [], 0.0, 0.0)
     k = max(1, min(k, n))
     if k > 1:
-        model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors)
-        labelled = model.transform(vectors)
-        inertia = float(model.summary.trainingCost)
-        centers = [[round(float(v), 6) for v in c] for c in model.clusterCenters()]
+        centers, inertia, rounds = _lloyd(scaled, features, k, seed)
+        k = len(centers)
+        labelled = VectorAssembler(inputCols=features, outputCol="features").transform(_assigned(scaled, features, centers))
+        centers = [[round(v, 6) for v in c] for c in centers]
         used = labelled.select("cluster").distinct().count()
         silhouette = float(ClusteringEvaluator(predictionCol="cluster").evaluate(labelled)) if used > 1 else 0.0
     else:
-        labelled = vectors.withColumn("cluster", F.lit(0))
-        means = vectors.agg(*[F.avg(f).alias(f) for f in features], *[(F.var_pop(f) * F.count(f)).alias(f"s_{f}") for f in features]).first()
+        labelled, rounds = scaled.withColumn("cluster", F.lit(0)), 0
+        means = scaled.agg(*[F.avg(f).alias(f) for f in features], *[(F.var_pop(f) * F.count(f)).alias(f"s_{f}") for f in features]).first()
         centers = [[round(means[f], 6) for f in features]]
         inertia, silhouette = float(sum(means[f"s_{f}"] for f in features)), 0.0
     labels = labelled.select(*keep, *[F.col(f"__raw_{f}").alias(f) for f in features], "cluster")
-    return Clusters(k, labels, centers, inertia, silhouette)
+    return Clusters(k, labels, centers, inertia, silhouette, rounds)
 
 
 def cluster_profiles(labels: DataFrame, features: list[str], k: int, cluster: str = "cluster") -> DataFrame:

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from regionloom.functions import geo
-from regionloom.functions.scalars import days_between, to_numeric, to_time
+from regionloom.functions.scalars import days_between, known, to_numeric, to_time
 from regionloom.operators.columns import attach
 from regionloom.operators.positions import number_rows
 from regionloom.operators.quantiles import exact_quantiles
+from regionloom.session import stage
 
 
 def aggregate_source(df: DataFrame, group_by: list[str], value: str = "metric_value", source_key: str | None = None) -> DataFrame:
     """count, sum, mean, min and max of ``value`` per group (choice of statistics ours)."""
     if source_key is not None:
         df = df.where(F.col("source_key") == source_key)
-    v = F.col(value)
+    v = known(value)
     return df.groupBy(*group_by).agg(
         F.count(v).alias(f"{value}_count"),
         F.sum(v).alias(f"{value}_sum"),
@@ -31,18 +32,18 @@ def county_compare(df: DataFrame, value: str = "metric_value") -> DataFrame:
     """Rows, sum and mean per county, most rows first; only rows when there is no metric column."""
     aggregates = [F.count(F.lit(1)).alias("observation_count")]
     if value in df.columns:
-        aggregates += [F.coalesce(F.sum(value), F.lit(0.0)).alias("metric_sum"), F.avg(value).alias("metric_mean")]
+        aggregates += [F.coalesce(F.sum(known(value)), F.lit(0.0)).alias("metric_sum"), F.avg(known(value)).alias("metric_mean")]
     return df.groupBy("county").agg(*aggregates).orderBy(F.desc("observation_count"), "county")
 
 
 def distance_stats(df: DataFrame, by: str = "source_key", distance: str = "distance_km") -> DataFrame:
     """(by, stat, distance) with count, mean, median, min and max of the distances of each source."""
     d = F.col(distance)
-    known = df.where(d.isNotNull()).select(by, distance)
-    plain = known.groupBy(by).agg(
+    measured = stage(df.where(d.isNotNull() & ~F.isnan(d)).select(by, distance))
+    plain = measured.groupBy(by).agg(
         F.count(d).cast("double").alias("count"), F.avg(d).alias("mean"), F.min(d).alias("min"), F.max(d).alias("max")
     )
-    medians = exact_quantiles(known, distance, [0.5], by=[by]).select(by, F.col("value").alias("median"))
+    medians = exact_quantiles(measured, distance, [0.5], by=[by]).select(by, F.col("value").alias("median"))
     wide = plain.join(medians, by).select(by, "count", "mean", "median", "min", "max")
     return wide.unpivot([by], ["count", "mean", "median", "min", "max"], "stat", distance)
 
@@ -53,6 +54,11 @@ def pivot_stats(stats: DataFrame, by: str = "source_key", value: str = "distance
     return stats.groupBy(by).pivot("stat", names).agg(F.avg(value)).fillna(0.0, subset=names)
 
 
+def _together(parts: list[DataFrame], schema: str) -> DataFrame:
+    """All parts, or an empty table."""
+    return reduce(DataFrame.unionByName, parts) if parts else SparkSession.active().createDataFrame([], schema)
+
+
 def load_report(tables: dict[str, DataFrame], centre, radius_km: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Rows, rows within the radius, columns and status per table; one pass over each."""
     parts = []
@@ -68,12 +74,12 @@ def load_report(tables: dict[str, DataFrame], centre, radius_km: float, lat: str
                 F.when(F.col("rows_total") == 0, "empty").otherwise("ok").alias("status"),
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    return _together(parts, "source_key string, rows_total long, rows_in_radius long, columns int, status string")
 
 
 def trend(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
     """Least-squares slope, intercept and r2 per group; NULL below two distinct x."""
-    keep = F.col(x).isNotNull() & F.col(y).isNotNull()
+    keep = known(F.col(x).cast("double")).isNotNull() & known(F.col(y).cast("double")).isNotNull()
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     enough = F.min(x) < F.max(x)
     return (
@@ -90,8 +96,8 @@ def trend(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
 
 def conditional_mean_curve(df: DataFrame, x: str, y: str) -> DataFrame:
     """Mean of y at each distinct x, in order of x."""
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return known.groupBy(x).agg(F.avg(y).alias(f"{y}_mean")).orderBy(x)
+    both = df.where(known(x).isNotNull() & known(y).isNotNull())
+    return both.groupBy(x).agg(F.avg(y).alias(f"{y}_mean")).orderBy(x)
 
 
 def time_ranges(tables: dict[str, DataFrame], candidates: dict[str, list[str]]) -> DataFrame:
@@ -118,7 +124,7 @@ def time_ranges(tables: dict[str, DataFrame], candidates: dict[str, list[str]])
         )
         first = F.coalesce(*[F.col(f"r_{i}") for i in range(len(columns))])
         parts.append(found.select(F.lit(key).alias("source_key"), first.alias("r")).where("r IS NOT NULL").select("source_key", "r.*"))
-    return reduce(DataFrame.unionByName, parts)
+    return _together(parts, "source_key string, column string, time_start timestamp, time_end timestamp")
 
 
 def time_ranges_by(df: DataFrame, time: str, by: str = "source_key") -> DataFrame:
@@ -135,11 +141,11 @@ def time_ranges_by(df: DataFrame, time: str, by: str = "source_key") -> DataFram
 def compare_datasets(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     if keys:
         obs = obs.where(F.col("source_key").isin(keys))
-    return obs.groupBy("source_key").agg(F.count(F.lit(1)).alias("row_count"), F.avg("metric_value").alias("metric_mean"))
+    return obs.groupBy("source_key").agg(F.count(F.lit(1)).alias("row_count"), F.avg(known("metric_value")).alias("metric_mean"))
 
 
 def dataset_trends(obs: DataFrame) -> DataFrame:
-    return obs.groupBy("source_key", "year").agg(F.avg("metric_value").alias("metric_mean"))
+    return obs.groupBy("source_key", "year").agg(F.avg(known("metric_value")).alias("metric_mean"))
 
 
 def county_counts(obs: DataFrame) -> DataFrame:
@@ -218,15 +224,15 @@ def regression_prediction(df: DataFrame, x: str, y: str, new: str = "prediction"
 def summary(df: DataFrame, columns: list[str], quantiles=(0.25, 0.5, 0.75)) -> DataFrame:
     """Long table of count, mean, std, min, quartiles and max per column (the data of a box plot)."""
     long = df.select(*[to_numeric(c).alias(c) for c in columns]).unpivot([], columns, "variable", "value")
-    known = long.where("value IS NOT NULL")
-    plain = known.groupBy("variable").agg(
+    present = long.where("value IS NOT NULL")
+    plain = present.groupBy("variable").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    cuts = exact_quantiles(known, "value", list(quantiles), by=["variable"])
+    cuts = exact_quantiles(present, "value", list(quantiles), by=["variable"])
     wide = cuts.groupBy("variable").agg(
         *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(f"q{round(q * 100)}") for q in quantiles]
     )
@@ -266,7 +272,7 @@ def temporal_summary(df: DataFrame, time: str, grain: str = "month") -> DataFram
 
 def spatial_summary(df: DataFrame, by=(), lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Bounding box, mean place, rows and share of rows without a place."""
-    a, o = F.col(lat), F.col(lon)
+    a, o = known(lat), known(lon)
     lost = F.when(a.isNull() | o.isNull(), 1.0).otherwise(0.0)
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -283,9 +289,9 @@ def spatial_summary(df: DataFrame, by=(), lat: str = "latitude", lon: str = "lon
 def interaction_grid(df: DataFrame, cell: float, x: str = "heat_x", y: str = "heat_y", z: str = "heat_z") -> DataFrame:
     """Heat map input: sum, mean and rows per square cell."""
     return (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        df.where(known(x).isNotNull() & known(y).isNotNull())
         .groupBy(F.floor(F.col(x) / cell).alias("cell_x"), F.floor(F.col(y) / cell).alias("cell_y"))
-        .agg(F.sum(z).alias("z_sum"), F.avg(z).alias("z_mean"), F.count(F.lit(1)).alias("row_count"))
+        .agg(F.sum(known(z)).alias("z_sum"), F.avg(known(z)).alias("z_mean"), F.count(F.lit(1)).alias("row_count"))
     )
 
 

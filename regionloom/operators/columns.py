@@ -116,7 +116,11 @@ def add_column(df: DataFrame, new: str, expression: str, tables: dict[str, DataF
     by_table: dict[str, list[Column]] = {}
     for i, (function, key, column) in enumerate(calls):
         if function == "median":
-            raise ValueError("use exact_quantiles for a median")
+            from regionloom.operators.quantiles import exact_quantiles
+
+            median = exact_quantiles(tables.get(key, df), column, [0.5]).select(F.col("value").alias(f"__agg_{i}"))
+            result = attach(result, median)
+            continue
         by_table.setdefault(key, []).append(_AGGREGATES[function](column).alias(f"__agg_{i}"))
     for key, aggregates in by_table.items():
         result = attach(result, tables.get(key, df).agg(*aggregates))
@@ -193,7 +197,7 @@ def normalize_observations(
             F.when(placed, lat).otherwise(F.lit(centre[0]) + shift),
             F.when(placed, lon).otherwise(F.lit(centre[1]) - shift),
         )
-        year = F.coalesce(year, (F.lit(2020) + F.col(ROW_ID)).cast("int"))
+        year = F.coalesce(year, (F.lit(2020) + F.col(ROW_ID)).try_cast("int"))
         metric = F.coalesce(metric, F.lit(1.0))
         county, city = F.coalesce(county, F.lit(default_county)), F.coalesce(city, F.lit(default_city))
     label = title_label(F.lit(source_key), labels)

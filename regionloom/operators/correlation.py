@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from regionloom.functions.scalars import to_numeric
+from regionloom.functions.scalars import known, to_numeric
 from regionloom.operators.columns import numeric_columns
-from regionloom.operators.positions import ROW_ID, number_rows
-from regionloom.operators.tables import deterministic_sample
+from regionloom.operators.tables import hash_order
+from regionloom.session import stage
 
 
 def _pair(a: Column, b: Column) -> Column:
@@ -63,46 +64,47 @@ def cross_source_correlation(series: dict[str, DataFrame], value: str, row_id: s
     """r of every pair of sources over independent samples paired by position, cut to the shortest.
 
     The pairing has no meaning in the data; the result is labelled ``sampled``. ``keyed_cross_correlation``
-    aligns on real keys. Each sample is at most ``n`` rows, so the numbering works on bounded tables.
+    aligns on real keys. A source needs five values that differ; fewer than two such sources give no rows. All sources are
+    sampled and paired by the same jobs; a sample has at most ``n`` rows.
     """
-    usable = {}
-    for key, df in series.items():
-        clean = df.select(F.col(row_id).alias("__id"), to_numeric(value).alias("v")).where("v IS NOT NULL")
-        usable[key] = clean
-    sizes = {k: d.agg(F.count("v").alias("n"), F.stddev_samp("v").alias("s")).first() for k, d in usable.items()}
-    usable = {k: d for k, d in usable.items() if sizes[k]["n"] >= 5 and (sizes[k]["s"] or 0.0) > 1e-10}
-    length = min([n, *[sizes[k]["n"] for k in usable]])
-    wide = None
-    for i, (key, df) in enumerate(usable.items()):
-        sample = deterministic_sample(df, length, "__id").withColumn("__h", F.md5(F.concat(F.col("__id").cast("string"), F.lit(":42"))))
-        placed = number_rows(sample, ["__h", "__id"]).select(ROW_ID, F.col("v").alias(f"v_{i}"))
-        wide = placed if wide is None else wide.join(placed, ROW_ID)
-    names = list(usable)
-    pairs = list(combinations(range(len(names)), 2))
-    stats = wide.agg(*[_pair(F.col(f"v_{a}"), F.col(f"v_{b}")).alias(f"r_{a}_{b}") for a, b in pairs])
-    cells = [
-        F.struct(F.lit(names[a]).alias("source_a"), F.lit(names[b]).alias("source_b"), F.col(f"r_{a}_{b}").alias("r"))
-        for a, b in pairs
+    parts = [
+        df.select(F.lit(key).alias("key"), F.col(row_id).alias("__id"), to_numeric(value).alias("v")) for key, df in series.items()
     ]
-    return stats.select(F.inline(F.array(*cells))).withColumn("pairing", F.lit("sampled"))
+    if not parts:
+        return SparkSession.active().createDataFrame([], "source_a string, source_b string, r double, pairing string")
+    known_values = reduce(DataFrame.unionByName, parts).where("v IS NOT NULL")
+    sizes = known_values.groupBy("key").agg(F.count("v").alias("n"), F.stddev_samp("v").alias("s")).where("n >= 5 AND s > 1e-10")
+    order = Window.partitionBy("key").orderBy(hash_order("__id"), "__id")
+    # the filter on the row number is applied in each task before rows travel
+    first = known_values.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n)
+    sizes = stage(sizes)
+    length = F.least(F.lit(n), F.min("n").over(Window.partitionBy(F.lit(0))))
+    sample = stage(first.join(sizes.select("key", length.alias("__length")), "key").where("__r <= __length").select("key", "__r", "v"))
+    a = sample.select(F.col("key").alias("source_a"), "__r", F.col("v").alias("va"))
+    b = sample.select(F.col("key").alias("source_b"), "__r", F.col("v").alias("vb"))
+    names = {key: i for i, key in enumerate(series)}
+    place = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    pairs = a.join(b, "__r").where(place[F.col("source_a")] < place[F.col("source_b")])
+    r = _pair(F.col("va"), F.col("vb")).alias("r")
+    return pairs.groupBy("source_a", "source_b").agg(r).withColumn("pairing", F.lit("sampled"))
 
 
 def keyed_cross_correlation(obs: DataFrame, keys: list[str], sources: list[str], value: str = "metric_value") -> DataFrame:
     """Means per key and source, then r of every pair of sources over their common keys."""
-    wide = obs.groupBy(*keys).pivot("source_key", sources).agg(F.avg(value))
+    wide = obs.groupBy(*keys).pivot("source_key", sources).agg(F.avg(known(value)))
     return selected_correlation(wide, sources).where("x < y")
 
 
 def cross_domain_compare(obs: DataFrame) -> DataFrame:
     """Rows and mean metric per category and year (choice ours)."""
     return obs.groupBy("dataset_category", "year").agg(
-        F.count(F.lit(1)).alias("row_count"), F.avg("metric_value").alias("metric_mean")
+        F.count(F.lit(1)).alias("row_count"), F.avg(known("metric_value")).alias("metric_mean")
     )
 
 
 def cross_domain_correlation(obs: DataFrame, categories: list[str]) -> DataFrame:
     """r between the yearly means of the categories (choice ours)."""
-    wide = obs.groupBy("year").pivot("dataset_category", categories).agg(F.avg("metric_value"))
+    wide = obs.groupBy("year").pivot("dataset_category", categories).agg(F.avg(known("metric_value")))
     return selected_correlation(wide, categories).where("x < y")
 
 

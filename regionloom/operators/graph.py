@@ -42,7 +42,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id of every connected component of the vertices that have an edge.
 
     Alternating stars (Kiveris et al. 2014) on staged edge tables: the rounds grow with the logarithm of the graph,
@@ -50,7 +50,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     """
     current = stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         current = stage(_star(stage(_star(current, large=True)), large=False))
         # the same number and the same sum of hashes: nothing moved
         now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -58,7 +58,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
             leaves = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
             return leaves.union(current.select("b", F.col("b").alias("component")).distinct())
         mark = now
-    raise RuntimeError("components did not settle")
 
 
 def network_summary(edges: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from regionloom.functions import geo
+from regionloom.functions.scalars import known
 from regionloom.session import stage
 
 BITS = 20
@@ -175,8 +176,8 @@ def _pick(left: DataFrame, right: DataFrame, rounds, left_columns, right_columns
 def places(df: DataFrame, lat: str, lon: str, group: str | None = None, weight: str | None = None) -> DataFrame:
     """The distinct places of a table with their number of rows, on the unit sphere."""
     g = F.col(group).cast("string") if group else F.lit("")
-    known = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    counted = known.groupBy(g.alias("g"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(
+    placed = [F.col(c).isNotNull() & ~F.isnan(c) for c in (lat, lon)]
+    counted = df.where(placed[0] & placed[1]).groupBy(g.alias("g"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(
         (F.sum(weight) if weight else F.count(F.lit(1))).alias("w")
     )
     x, y, z = geo.unit_vector("lat", "lon")
@@ -215,7 +216,7 @@ def region_distances(obs: DataFrame, lat="latitude", lon="longitude", group="sou
     pairs = found.groupBy(F.col("lg").alias("source_a"), F.col("rg").alias("source_b")).agg(
         (F.sum(F.col("km") * F.col("l_w")) / F.sum("l_w")).alias("mean_nearest_km"), F.min("km").alias("min_km")
     )
-    centres = obs.groupBy(F.col(group).alias("s")).agg(F.avg(lat).alias("clat"), F.avg(lon).alias("clon"))
+    centres = obs.groupBy(F.col(group).alias("s")).agg(F.avg(known(lat)).alias("clat"), F.avg(known(lon)).alias("clon"))
     a = centres.select(F.col("s").alias("source_a"), F.col("clat").alias("alat"), F.col("clon").alias("alon"))
     b = centres.select(F.col("s").alias("source_b"), F.col("clat").alias("blat"), F.col("clon").alias("blon"))
     return pairs.join(a, "source_a").join(b, "source_b").select(
@@ -340,6 +341,8 @@ def _feature_points(df: DataFrame, features: list[str], row_id: str, copies: int
     axes = [F.col(f).cast("double").alias(a) for f, a in zip(features, AXES)]
     axes += [zero.alias(a) for a in AXES[len(features):]]
     rows = df.select(F.lit("").alias("g"), F.col(row_id).alias("id"), *axes, F.lit(1).cast("bigint").alias("w"))
+    for a in AXES:
+        rows = rows.where(F.col(a).isNotNull() & ~F.isnan(a))
     if not copies:
         return rows
     first = Window.partitionBy(*AXES).orderBy("id")
@@ -350,7 +353,7 @@ def k_nearest(
     left: DataFrame, right: DataFrame, features: list[str], k: int, row_id: str, exclude_same_id: bool = False
 ) -> DataFrame:
     """(id, neighbour_id, distance, rank): the k closest right rows of every left row in Euclidean distance over
-    one to three features, ties by id; every row needs all its features."""
+    one to three features, ties by id. A row without one of its features (NULL, NaN) has no neighbours and is none."""
     if not 1 <= len(features) <= 3:
         raise ValueError("one to three features")
     need = k + 1 if exclude_same_id else k

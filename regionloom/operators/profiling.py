@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from regionloom.functions.scalars import looks_numeric, unit_suffix
 from regionloom.operators.columns import attach
@@ -128,6 +128,8 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
 def find_matching_types(tables: dict[str, DataFrame], keys: list[str], types: list[str], exact: bool = True) -> DataFrame:
     """(source_key, name, inferred_type) of the columns whose type is in the set."""
     parts = [profile(tables[k], exact).withColumn("source_key", F.lit(k)) for k in keys if k in tables]
+    if not parts:
+        return SparkSession.active().createDataFrame([], "source_key string, name string, inferred_type string")
     found = reduce(DataFrame.unionByName, parts)
     return found.where(F.col("inferred_type").isin(list(types))).select("source_key", "name", "inferred_type")
 

@@ -11,12 +11,12 @@ from regionloom.session import stage
 def exact_quantiles(df: DataFrame, value: str, quantiles: list[float], by=()) -> DataFrame:
     """(by..., q, value) with linear interpolation between neighbours.
 
-    Equal values are counted before the shuffle; the distinct values are range-partitioned, so that one hot group
+    NULL and NaN are no values. Equal values are counted before the shuffle; the distinct values are range-partitioned, so that one hot group
     spreads over many tasks. Running counts are taken per (group, partition) and shifted by the totals of the
     partitions before; no task holds a whole group.
     """
     by = list(by)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__w__"))
+    counted = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__w__"))
     rows = _sorted_table(counted, [value], by)
     parts = rows.groupBy(*by, "__p__").agg(F.sum("__w__").alias("__n__"))
     group = Window.partitionBy(*(by or [F.lit(0)]))

@@ -138,7 +138,7 @@ def bootstrap_ci(
 
 
 def poisson_weights(k: int = 12) -> list[float]:
-    """Upper ends of the distribution function of Poisson(1)."""
+    """Upper ends of the distribution function of Poisson(1). What lies beyond twelve is less than the 32 bits that are drawn."""
     total, term, ends = 0.0, math.exp(-1.0), []
     for i in range(k):
         total += term

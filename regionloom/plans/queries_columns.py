@@ -432,9 +432,9 @@ def zscore_and_minmax(spark, sf_dir):
     return wide.select("p_partkey", F.round("z", 6).alias("z"), F.round("scaled", 6).alias("scaled"))
 
 
-@query("split_by_value", "SELECT 'O' AS part, o_orderkey FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'F', o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+@query("split_by_value", "SELECT 'O' AS part, o_orderkey FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'F', o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'P', o_orderkey FROM orders WHERE o_orderstatus = 'P'")
 def split_by_value(spark, sf_dir):
-    parts = columns.split(table(spark, sf_dir, "orders"), "o_orderstatus", ["O", "F"])
+    parts = columns.split(table(spark, sf_dir, "orders"), "o_orderstatus", ["O", "F", "P"])
     return tables.concat(*[d.select(F.lit(v).alias("part"), "o_orderkey") for v, d in parts.items()])
 
 
@@ -706,3 +706,17 @@ def geometry_from_columns(spark, sf_dir):
     """Columns to GeoJSON text and back to a point."""
     text = events(spark, sf_dir).select("event_id", geo.point_geojson("longitude", "latitude").alias("g"))
     return text.select("event_id", geo.point_from_geojson("g").alias("p")).select("event_id", "p.lon", "p.lat")
+
+
+@query(
+    "sample_by_fraction",
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || substr(md5(o_orderkey || ':42'), 1, 8))::BIGINT / 4294967296.0 < 0.3",
+)
+def sample_by_fraction(spark, sf_dir):
+    return tables.sample_fraction(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 0.3, "o_orderkey")
+
+
+@query("add_median", "SELECT p_partkey, p_retailprice - (SELECT median(p_retailprice) FROM part) AS above FROM part")
+def add_median(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return columns.add_column(part, "above", "k[p_retailprice] - median(k[p_retailprice])", {"k": part}).select("p_partkey", "above")

@@ -71,7 +71,7 @@ def classification_measures(spark, sf_dir):
 
 @query("logistic_regression_metrics")
 def logistic_regression_metrics(spark, sf_dir):
-    _, _, metrics = classification.logistic_regression(lineitem(spark, sf_dir), _FEATURES, "l_returnflag", max_iter=100)
+    _, _, metrics = classification.logistic_regression(lineitem(spark, sf_dir), _FEATURES, "l_returnflag")
     return metrics
 
 
@@ -176,12 +176,13 @@ def arima_forecasts(spark, sf_dir):
 @query(
     "cross_analysis_linear",
     """WITH c AS (SELECT l_linestatus AS cluster, count(*) AS n, regr_r2(l_discount, l_quantity) AS a, regr_r2(l_tax, l_quantity) AS b FROM lineitem GROUP BY 1)
-    SELECT cluster, 'size' AS from_group, unnest(['l_discount', 'l_tax']) AS target, 'linear_regression' AS model, n, round(unnest([a, b]), 4) AS score FROM c""",
+    SELECT cluster, 'size' AS from_group, unnest(['l_discount', 'l_tax']) AS target, 'linear_regression' AS model, n, round(unnest([a, b]), 4) AS score FROM c
+    UNION ALL SELECT cluster, 'money', 'l_quantity', 'linear_regression', n, round((p * p + q * q - 2 * p * q * s) / (1 - s * s), 4) FROM (SELECT l_linestatus AS cluster, count(*) AS n,
+    corr(l_quantity, l_discount) AS p, corr(l_quantity, l_tax) AS q, corr(l_discount, l_tax) AS s FROM lineitem GROUP BY 1)""",
 )
 def cross_analysis_linear(spark, sf_dir):
     rows = lineitem(spark, sf_dir).withColumnRenamed("l_linestatus", "cluster")
-    found = cross.cross_analysis(rows, "cluster", {"size": ["l_quantity"], "money": ["l_discount", "l_tax"]}, ["linear_regression"])
-    return found.where("from_group = 'size'")
+    return cross.cross_analysis(rows, "cluster", {"size": ["l_quantity"], "money": ["l_discount", "l_tax"]}, ["linear_regression"])
 
 
 @query("cross_analysis_by_cluster")

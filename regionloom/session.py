@@ -43,14 +43,27 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folder:
-        _local_folder[app] = tempfile.mkdtemp(prefix="regionloom-")
-    return _local_folder[app]
+    """The application's part of the shared folder of the cluster (``spark.checkpoint.dir``).
+
+    Where that is unset, a session whose driver is its only executor gets a temporary folder; on a cluster the executors
+    would each write to a disk of their own, so that is an error.
+    """
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    alone = context.master == "local" or context.master.startswith("local[")
+    if not shared:
+        if not alone:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _local_folder:
+            _local_folder[context.applicationId] = tempfile.mkdtemp(prefix="regionloom-")
+        shared = _local_folder[context.applicationId]
+    return f"{shared.rstrip('/')}/{context.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove all tables that this application has staged. Call it when no result of theirs is needed any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -101,4 +101,6 @@ def fetch(tables: dict[str, DataFrame], source_keys: list[str] | None = None, li
     for key in keys:
         part = tables[key] if limit is None else tables[key].limit(limit)
         parts.append(part.withColumn("__source__", F.lit(key)))
+    if not parts:
+        raise ValueError(f"none of {source_keys or 'the tables'} is there")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -9,9 +9,10 @@ from regionloom.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__enabled="false"
+        "tests", "local[8]", spark__checkpoint__dir=shared, spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__enabled="false"
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -146,3 +146,19 @@ def test_components(spark):
         parent[max(ra, rb)] = min(ra, rb)
     got = dict(graph.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect())
     assert got == {x: root(x) for x in parent}
+
+
+def test_a_nan_place_changes_no_other_row(spark):
+    from regionloom.operators import neighbours
+
+    nan = float("nan")
+    left = [(1, 42.0, -121.0), (2, 42.1, -121.0)]
+    right = spark.createDataFrame([(9, 42.1, -121.0), (10, 43.0, -121.0)], "id long, latitude double, longitude double")
+    schema = "id long, latitude double, longitude double"
+    plain, odd = spark.createDataFrame(left, schema), spark.createDataFrame([*left, (3, nan, -121.0)], schema)
+    for f, c in ((lambda d: neighbours.nearest(d, right), "nearest_km"), (lambda d: neighbours.within_counts(d, right, [20.0]), "count_within_20km")):
+        a, b = ({r.id: r[c] for r in f(d).collect()} for d in (plain, odd))
+        assert {i: b[i] for i in a} == a
+        assert b[3] in (None, 0)
+    assert neighbours.adjacency_edges(odd, 20.0).count() == neighbours.adjacency_edges(plain, 20.0).count() == 1
+    assert neighbours.k_nearest(odd, odd, ["latitude", "longitude"], 1, "id", exclude_same_id=True).count() == 2

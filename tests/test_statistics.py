@@ -129,3 +129,51 @@ def test_interpolation_returns_values_at_hits(spark):
     df = spark.createDataFrame([(0.0, 0.0, 1.0), (0.0, 1.0, 2.0), (1.0, 0.0, 3.0), (1.0, 1.0, None), (1.0, 1.0, 6.0), (1.0, 1.0, 4.0)], "latitude double, longitude double, metric_value double")
     got = {(r["row"], r["col"]): r["estimate"] for r in surfaces.spatial_interpolation(df, 3).collect()}
     assert got[(0, 0)] == 1.0 and got[(2, 2)] == 5.0 and got[(1, 1)] == pytest.approx((1 + 2 + 3 + 10) / 5)
+
+
+def test_nan_is_missing_everywhere(spark):
+    from regionloom.operators import aggregates
+    from regionloom.operators.quantiles import exact_quantiles
+
+    nan = float("nan")
+    rows = [("a", "x", 2020, 1.0, 42.0, -121.0), ("a", "x", 2020, nan, nan, -121.0), ("a", "y", 2021, 3.0, 42.1, nan), ("b", "y", 2021, None, 42.2, -121.2)]
+    obs = spark.createDataFrame(rows, "source_key string, county string, year int, metric_value double, latitude double, longitude double")
+    county = {r.county: (r.metric_sum, r.metric_mean) for r in aggregates.county_compare(obs).collect()}
+    assert county == {"x": (1.0, 1.0), "y": (3.0, 3.0)}
+    plain = {r.source_key: r for r in aggregates.aggregate_source(obs, ["source_key"]).collect()}
+    assert (plain["a"].metric_value_count, plain["a"].metric_value_mean, plain["a"].metric_value_max) == (2, 2.0, 3.0)
+    assert exact_quantiles(obs, "metric_value", [0.5]).first()["value"] == 2.0
+    assert {r.stat: r.distance_km for r in aggregates.distance_stats(obs.withColumnRenamed("metric_value", "distance_km")).collect()}["median"] == 2.0
+    place = aggregates.spatial_summary(obs).first()
+    assert (place.north, place.east, place.null_share) == (42.2, -121.0, 0.5)
+
+
+def test_kmeans_does_not_depend_on_partitions(spark):
+    from regionloom.models.clustering import kmeans
+
+    rows = spark.range(600).selectExpr("id", "(id * 7919 % 1000) / 10.0 AS x", "(id * 104729 % 777) / 7.0 AS y")
+    found = [kmeans(rows.repartition(n), ["x", "y"], 4) for n in (1, 3, 8)]
+    assert found[0].centers == found[1].centers == found[2].centers and found[0].iterations > 1
+    assert abs(found[0].inertia - found[2].inertia) < 1e-6
+
+
+def test_no_table_and_no_pair(spark):
+    from regionloom.operators import aggregates, correlation
+
+    assert aggregates.time_ranges({}, {}).count() == aggregates.load_report({}, (0, 0), 1.0).count() == 0
+    one = spark.range(9).selectExpr("id", "id * 1.5 AS v")
+    assert correlation.cross_source_correlation({}, "v", "id").count() == correlation.cross_source_correlation({"a": one}, "v", "id").count() == 0
+    assert correlation.cross_source_correlation({"a": one, "b": one}, "v", "id").first()["r"] > 0.999
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from regionloom.session import staging_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: conf, master="yarn", applicationId="app")
+    with pytest.raises(RuntimeError):
+        staging_folder(SimpleNamespace(sparkContext=context, conf=conf))
