@@ -84,8 +84,7 @@ def feature_service_pages(spark, sf_dir):
     path = _landed(ev, "pages")
     pages.select("features").write.json(path)
     schema = "features array<struct<attributes:struct<event_id:bigint,value:double>,geometry:struct<x:double,y:double>>>"
-    raw = spark.read.schema(schema).json(path)
-    return raw.select(F.inline("features")).select("attributes.*", F.col("geometry.x").alias("longitude"), F.col("geometry.y").alias("latitude"))
+    return readers.read_arcgis_pages(spark, path, schema, per_line=True)
 
 
 @query("header_array_payloads", "SELECT event_id, 'NAME' AS field, event_type AS text FROM events UNION ALL SELECT event_id, 'VALUE', CAST(event_id AS VARCHAR) FROM events")
@@ -720,3 +719,53 @@ def sample_by_fraction(spark, sf_dir):
 def add_median(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     return columns.add_column(part, "above", "k[p_retailprice] - median(k[p_retailprice])", {"k": part}).select("p_partkey", "above")
+
+
+@query("json_records_at_path", "SELECT n_nationkey, n_name FROM nation")
+def json_records_at_path(spark, sf_dir):
+    """Documents whose records lie in an array inside, one document a region."""
+    nation = table(spark, sf_dir, "nation")
+    records = nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("rows"))
+    path = _landed(nation, "records")
+    writers.write_json(records.select(F.struct("rows").alias("data")), path)
+    schema = "data struct<rows:array<struct<n_nationkey:int,n_name:string>>>"
+    return readers.read_json_payloads(spark, path, "data.rows", schema, per_line=True)
+
+
+@query("header_array_files", "SELECT CAST(n_nationkey AS VARCHAR) AS nation_key, n_name AS nation FROM nation")
+def header_array_files(spark, sf_dir):
+    """``[[names],[values]]`` files, one for each nation."""
+    nation = table(spark, sf_dir, "nation")
+    values = F.array(F.col("n_nationkey").cast("string"), "n_name")
+    payload = F.to_json(F.array(F.array(F.lit("KEY"), F.lit("NAME")), values))
+    path = _landed(nation, "arrays")
+    nation.select("n_nationkey", payload.alias("value")).write.partitionBy("n_nationkey").text(path)
+    record = readers.read_header_arrays(spark, path)
+    return record.select(F.col("record")["KEY"].alias("nation_key"), F.col("record")["NAME"].alias("nation"))
+
+
+@query(
+    "fetch_first_rows",
+    """SELECT * FROM (SELECT 'customer' AS __source__, c_custkey AS key FROM customer ORDER BY c_custkey LIMIT 7)
+    UNION ALL SELECT * FROM (SELECT 'supplier', s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 7)""",
+)
+def fetch_first_rows(spark, sf_dir):
+    """The first rows of each table by its key; the limit is the feature."""
+    named = {k: table(spark, sf_dir, k).select(F.col(c).alias("key")) for k, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"))}
+    return readers.fetch(named, limit=7, order_by={"customer": "key", "supplier": "key"}).select("__source__", "key")
+
+
+@query(
+    "profile_file",
+    "SELECT 'n_nationkey' AS name, count(DISTINCT n_nationkey) AS unique_values, count(*) - count(n_nationkey) AS null_count FROM nation UNION ALL SELECT 'n_name', count(DISTINCT n_name), count(*) - count(n_name) FROM nation UNION ALL SELECT 'n_regionkey', count(DISTINCT n_regionkey), count(*) - count(n_regionkey) FROM nation",
+)
+def profile_file(spark, sf_dir):
+    """A profile written as CSV and read back."""
+    from regionloom.operators import profiling
+
+    nation = table(spark, sf_dir, "nation")
+    path = _landed(nation, "profile")
+    writers.write_profile(profiling.profile(nation), path, "csv")
+    back = readers.read_csv(spark, path, ", ".join(f"`{t}` string" for t in writers.PROFILE_HEADER.values()))
+    counts = [F.col(f"`{writers.PROFILE_HEADER[c]}`").cast("bigint").alias(c) for c in ("unique_values", "null_count")]
+    return back.select(F.col("`Column Name`").alias("name"), *counts)

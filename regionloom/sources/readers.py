@@ -44,9 +44,9 @@ def read_geojson(spark: SparkSession, path, schema=None, per_line: bool = False)
     return features.select("properties.*", "geometry")
 
 
-def read_arcgis_pages(spark: SparkSession, path, schema=None) -> DataFrame:
+def read_arcgis_pages(spark: SparkSession, path, schema=None, per_line: bool = False) -> DataFrame:
     """Landed query pages of a feature service: attributes plus longitude and latitude."""
-    raw = _documents(spark, path, schema, per_line=False)
+    raw = _documents(spark, path, schema, per_line)
     features = raw.select(F.explode("features").alias("f"))
     return features.select(
         "f.attributes.*", F.col("f.geometry.x").alias("longitude"), F.col("f.geometry.y").alias("latitude")
@@ -94,12 +94,16 @@ def read_zipped_csv(spark: SparkSession, path, schema: T.StructType | str, chunk
     return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def fetch(tables: dict[str, DataFrame], source_keys: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """The first ``limit`` rows of each chosen table, bound together with ``__source__``."""
+def fetch(
+    tables: dict[str, DataFrame], source_keys: list[str] | None = None, limit: int | None = None, order_by: dict[str, str] | None = None
+) -> DataFrame:
+    """The first ``limit`` rows of each chosen table (by its column in ``order_by``, else any), bound together with
+    ``__source__``."""
     keys = [k for k in (source_keys or list(tables)) if k in tables]
     parts = []
     for key in keys:
-        part = tables[key] if limit is None else tables[key].limit(limit)
+        part = tables[key].orderBy(order_by[key]) if order_by and limit is not None else tables[key]
+        part = part if limit is None else part.limit(limit)
         parts.append(part.withColumn("__source__", F.lit(key)))
     if not parts:
         raise ValueError(f"none of {source_keys or 'the tables'} is there")
