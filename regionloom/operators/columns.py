@@ -174,6 +174,7 @@ def normalize_observations(
     labels: dict[str, str] | None = None,
     impute: bool = False,
     order_by=None,
+    # fixed values: the study region that imputed rows fall in
     default_county: str = "Klamath",
     default_city: str = "Klamath Falls",
     default_state: str = "OR",

@@ -229,8 +229,11 @@ def _chord(km: float, earth: float) -> float:
     return 2.0 * math.sin(min(km / earth, math.pi) / 2.0)
 
 
-def _range_rounds(left, right, chords: list[float], cap: int, keep: Column | None, listing: bool):
-    """[(level, staged pairs)] with ``state``: ``inside`` (decided for every radius) or ``points`` (to be compared)."""
+def _range_rounds(left, right, chords: list[float], cap: int, keep: Column | None, listing: bool, half: bool = False):
+    """[(level, staged pairs)] with ``state``: ``inside`` (decided for every radius) or ``points`` (to be compared).
+
+    ``half`` keeps one of the two orders of each pair of cells, for searches of a table in itself.
+    """
     active = _roots(left, right, keep)
     slack = 1e-9
     outer = (chords[-1] * (1 + slack)) ** 2 + 1e-15
@@ -241,6 +244,7 @@ def _range_rounds(left, right, chords: list[float], cap: int, keep: Column | Non
     done = []
     for level, before in _levels(2):
         pairs = _split(active, left, right, level, before).where(F.col("gap") <= outer)
+        pairs = pairs.where("lc <= rc") if half else pairs
         small = F.lit(True) if level == BITS else F.col("ln") * F.col("rn") <= cap
         state = F.when(small, "points").otherwise("split")
         if not listing:
@@ -317,18 +321,19 @@ def adjacency_edges(df: DataFrame, radius_km: float, lat="latitude", lon="longit
     Rows at the same place are one node, so copies add no edges.
     """
     (spots,) = _prepare(places(df, lat, lon))
-    rounds = _range_rounds(spots, spots, [_chord(radius_km, earth)], 65_536, None, listing=True)
+    rounds = _range_rounds(spots, spots, [_chord(radius_km, earth)], 65_536, None, listing=True, half=True)
     levels = [level for level, _ in rounds]
     whole = reduce(DataFrame.unionByName, [p.withColumn("level", F.lit(level)) for level, p in rounds])
     open_pairs = whole.where("state = 'points'").select("level", "lg", "lc", "rg", "rc")
     beside = open_pairs.join(_at_levels(spots, levels, "r", "lat", "lon"), ["level", "rg", "rc"]).join(
         _at_levels(spots, levels, "l", "lat", "lon"), ["level", "lg", "lc"]
     )
-    km = geo.haversine("l_lat", "l_lon", "r_lat", "r_lon", earth)
-    once = (F.col("l_lat") < F.col("r_lat")) | ((F.col("l_lat") == F.col("r_lat")) & (F.col("l_lon") < F.col("r_lon")))
-    return beside.where(once).select(
-        F.col("l_lat").alias("lat_a"), F.col("l_lon").alias("lon_a"),
-        F.col("r_lat").alias("lat_b"), F.col("r_lon").alias("lon_b"), km.alias("km"),
+    left, right = (F.struct(F.col(f"{s}_lat").alias("lat"), F.col(f"{s}_lon").alias("lon")) for s in "lr")
+    # two cells met in one order only; inside a cell both orders of a pair are there
+    ordered = beside.where((F.col("lc") < F.col("rc")) | (left < right)).select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
+    km = geo.haversine("a.lat", "a.lon", "b.lat", "b.lon", earth)
+    return ordered.select(
+        F.col("a.lat").alias("lat_a"), F.col("a.lon").alias("lon_a"), F.col("b.lat").alias("lat_b"), F.col("b.lon").alias("lon_b"), km.alias("km")
     ).where(F.col("km") <= radius_km)
 
 

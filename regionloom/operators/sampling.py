@@ -97,7 +97,7 @@ def _report(df: DataFrame, se: Column, low: Column, high: Column, confidence: fl
         F.when(enough, F.round(se, 6)).alias("uncertainty"),
         F.when(enough, F.round(low, 6)).alias("ci_low"),
         F.when(enough, F.round(high, 6)).alias("ci_high"),
-        F.when(~enough, F.lit("Insufficient data")).alias("warning"),
+        F.when(~enough, F.lit("fewer than two values")).alias("warning"),
     )
 
 
@@ -181,12 +181,12 @@ def uncertainty(
     sample = deterministic_sample(known, n, "__id", seed)
     warnings = []
     if n < 2:
-        warnings.append("Insufficient data for sampling")
+        warnings.append("fewer than two values to sample")
     else:
         if population < 30:
-            warnings.append("Small population: results may not be reliable")
+            warnings.append("population below 30")
         if n < 30:
-            warnings.append("Small sample: consider increasing sample_size")
+            warnings.append("sample below 30")
     if method == "bootstrap" and n >= 2:
         from regionloom.operators.columns import attach
 
@@ -220,9 +220,9 @@ def bias(df: DataFrame, field: str, op: str, value, target: str) -> DataFrame:
     )
     enough = (F.col("group_n") >= 2) & (F.col("complement_n") >= 2)
     score = F.try_divide(F.col("g") - F.col("r"), F.col("r") + F.lit(1e-9))
-    text = F.when(~enough, F.lit("Too few rows in group or complement for bias analysis")).when(
+    text = F.when(~enough, F.lit("a side has fewer than two values")).when(
         F.abs(score) > 0.2,
-        F.format_string("Substantial bias detected: group mean=%.3f vs complement mean=%.3f", F.col("g"), F.col("r")),
+        F.format_string("means differ by more than a fifth: %.3f against %.3f", F.col("g"), F.col("r")),
     )
     return stats.select(
         "population_size",

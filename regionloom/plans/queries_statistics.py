@@ -468,7 +468,7 @@ def poisson_bootstrap_means(spark, sf_dir):
     "group_bias",
     """WITH s AS (SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS a, count(*) FILTER (event_type <> 'error') AS b, avg(value) FILTER (event_type = 'error') AS g, avg(value) FILTER (event_type <> 'error') AS r FROM events)
     SELECT n AS population_size, a AS group_n, b AS complement_n, round(g, 6) AS group_mean, round(r, 6) AS complement_mean, round(g - r, 6) AS estimate, round((g - r) / (r + 1e-9), 6) AS bias_score,
-    CASE WHEN abs((g - r) / (r + 1e-9)) > 0.2 THEN printf('Substantial bias detected: group mean=%.3f vs complement mean=%.3f', g, r) END AS warning FROM s""",
+    CASE WHEN abs((g - r) / (r + 1e-9)) > 0.2 THEN printf('means differ by more than a fifth: %.3f against %.3f', g, r) END AS warning FROM s""",
 )
 def group_bias(spark, sf_dir):
     return sampling.bias(table(spark, sf_dir, "events"), "event_type", "==", "error", "value")

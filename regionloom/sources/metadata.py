@@ -45,6 +45,7 @@ def metadata_url(url, connector_type) -> Column:
     """Documentation address from the address and the kind of a source."""
     url, kind = as_col(url), as_col(connector_type)
     low = F.lower(url)
+    # fixed values: kinds of sources and the address forms of the services that answer them
     open_data = (kind == "csv") & (low.contains("socrata") | low.contains("data.oregon.gov"))
     resource = r"^(.+)/resource/([a-zA-Z0-9\-]+)\.csv"
     doi = r"doi\.org/(.+)"

@@ -22,8 +22,8 @@ def test_interval_of_small_tables(spark):
     exact = sampling.confidence_interval(df, "v", t_mode="exact").first()
     assert exact["ci_high"] == pytest.approx(2.5 + 3.182446 * se, abs=1e-4)
     lone = sampling.confidence_interval(df.limit(1), "v").first()
-    assert lone["warning"] == "Insufficient data" and lone["estimate"] is None
-    assert "Small population" in sampling.uncertainty(df, "v", "id", 3).first()["warning"]
+    assert lone["warning"] == "fewer than two values" and lone["estimate"] is None
+    assert "population below 30" in sampling.uncertainty(df, "v", "id", 3).first()["warning"]
 
 
 def test_bootstraps_agree_with_theory(spark):
@@ -40,7 +40,7 @@ def test_bootstraps_agree_with_theory(spark):
 
 def test_bias_needs_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0), ("b", 4.0)], "k string, v double")
-    assert sampling.bias(df, "k", "==", "a", "v").first()["warning"].startswith("Too few")
+    assert sampling.bias(df, "k", "==", "a", "v").first()["warning"].startswith("a side has fewer")
     row = sampling.bias(df, "k", "!=", "a", "v").first()
     assert row["group_n"] == 3 and row["complement_n"] == 1
 
