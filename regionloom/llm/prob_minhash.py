@@ -6,9 +6,11 @@ once its next arrival is later than the latest register of its text. Two texts a
 Jaccard similarity.
 
 Links. Equal texts are one vertex. A band of registers is a bucket. In each bucket all members are compared with one
-leader, which joins whole groups of near copies without listing their pairs. Only members of a bucket that are still in
-different classes are then compared with each other, large buckets in blocks. So no link between different classes is
-lost. Agreement of the signatures prunes; the shingle sets decide (Jaccard ``similarity`` or more).
+leader, the one with the most company in all its buckets. That joins whole groups of near copies without listing their
+pairs. Only members of a bucket that are still in different classes are then compared with each other; large buckets in
+blocks, each by products of incidence matrices, which give links that join classes, not pairs. So no link between
+different classes is lost, and no list of pairs is longer than its groups. Agreement of the signatures prunes the other
+pairs; the shingle sets decide (Jaccard ``similarity`` or more).
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND = 24, 4
 REGISTERS = BANDS * BAND
-# agreement of signatures below which a pair is not worth a comparison: seven standard errors below the threshold
-PRUNE = 0.5
+# agreement of signatures below which a pair is not worth a comparison: more than four standard errors below the threshold
+PRUNE = 0.62
+FEW = 16
 BLOCK = 512
 
 
@@ -126,40 +129,92 @@ def _verified(pairs: DataFrame, texts: DataFrame, signed: DataFrame, similarity:
     return stage(by_slices(both, "__ta", compare, "a binary, b binary"))
 
 
-def _across(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of members of two blocks of a bucket that are in different classes and have agreeing signatures."""
-    one, other = group[group["side"] == key[1]], group[group["side"] == key[2]]
-    left = np.frombuffer(b"".join(one["signature"]), np.uint32).reshape(-1, REGISTERS)
-    right = np.frombuffer(b"".join(other["signature"]), np.uint32).reshape(-1, REGISTERS)
-    roots = other["root"].to_numpy()
-    found: list[tuple] = []
-    for v, root, s in zip(one["v"], one["root"], left, strict=True):
-        near = np.flatnonzero((right == s).mean(axis=1) >= PRUNE)
-        found += [(min(v, w), max(v, w)) for w, r in zip(other["v"].iloc[near], roots[near], strict=True) if r != root]
-    return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+def _sets(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
+    hashes, rows, _ = shingles(texts)
+    cuts = np.searchsorted(rows, np.arange(texts.n + 1))
+    blobs = [np.sort(hashes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["v", "shingles"])
 
 
-def _remaining(members: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are in different classes, but for those with the bucket's leader."""
+def _shared(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right: products of their incidence matrices,
+    over the shingles that both sides have, some columns at a time."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (left, right)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    total = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), columns):
+        some = both[at : at + columns]
+        matrices = []
+        for (hashes, row), n in zip(sides, (len(left), len(right)), strict=True):
+            place = np.minimum(np.searchsorted(some, hashes), len(some) - 1)
+            hit = some[place] == hashes
+            matrix = np.zeros((n, len(some)), np.float32)
+            matrix[row[hit], place[hit]] = 1
+            matrices.append(matrix)
+        total += matrices[0] @ matrices[1].T
+    return total
+
+
+def _across(similarity: float):
+    """Links between the classes of two blocks of a bucket: all similar pairs are found, and those are given that join classes
+    not joined before, fewer than there are members."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        one, other = (group[group["side"] == side].reset_index(drop=True) for side in key[1:])
+        if one.empty or other.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        sets = [[np.frombuffer(x, np.uint64) for x in frame["shingles"]] for frame in (one, other)]
+        both = _shared(*sets)
+        sizes = [np.array([len(x) for x in side], np.float32) for side in sets]
+        numbers = {r: k for k, r in enumerate(dict.fromkeys([*one["root"], *other["root"]]))}
+        classes = [np.array([numbers[r] for r in frame["root"]]) for frame in (one, other)]
+        similar = both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-3
+        similar &= (both > 0) & (classes[0][:, None] != classes[1][None, :])
+        top = list(range(len(numbers)))
+
+        def root(k):
+            while top[k] != k:
+                top[k] = k = top[top[k]]
+            return k
+
+        found = []
+        for i, j in zip(*np.nonzero(similar), strict=True):
+            a, b = root(classes[0][i]), root(classes[1][j])
+            if a != b:
+                top[a] = b
+                found.append((one["v"][i], other["v"][j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
+def _remaining(members: DataFrame, roots: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of one bucket that are in different classes, but for those with the bucket's leader."""
     classed = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    mixed_buckets = classed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
-    mixed_buckets = mixed_buckets.where("n > 2 AND x <> y").select("bucket", "n")
-    rest = stage(classed.where("v <> leader").join(mixed_buckets, "bucket").select("bucket", "n", "v", "root"))
-    few = rest.where(F.col("n") <= 32)
+    mixed_buckets = classed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    mixed_buckets = mixed_buckets.where("x <> y").select("bucket")
+    rest = classed.where("n > 2 AND v <> leader").join(mixed_buckets, "bucket").select("bucket", "n", "v", "root")
+    rest = stage(rest)
+    few = rest.where(F.col("n") <= FEW)
     small = (
         few.select("bucket", F.col("v").alias("a"), F.col("root").alias("x"))
         .join(few.select("bucket", F.col("v").alias("b"), F.col("root").alias("y")), "bucket")
         .where("a < b AND x <> y")
         .select("a", "b")
+        .distinct()
     )
+    many = rest.where(F.col("n") > FEW)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    needed = texts.join(many.select("v").distinct(), "v", "left_semi")
+    sets = stage(by_slices(needed, "text", _sets, "v binary, shingles binary"))
     own = F.pmod(F.xxhash64("v"), blocks).cast("int")
-    many = rest.where(F.col("n") > 32).join(signed.select("v", "signature"), "v").withColumn("side", own)
-    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "v", "root", "signature"
-    )
-    large = dealt.groupBy("bucket", "i", "j").applyInPandas(_across, "a binary, b binary")
-    return small.union(large).distinct()
+    dealt = many.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "v", "root").join(sets, "v")
+    # a block is few bytes and much work, so blocks are dealt out by number, not by size
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "bucket", "i", "j")
+    large = stage(dealt.groupBy("bucket", "i", "j").applyInPandas(_across(similarity), "a binary, b binary"))
+    return _verified(small, texts, signed, similarity).union(large)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -177,16 +232,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = every.groupBy("v").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     signed = stage(distinct)
     spread = signed.select("v", F.explode("bands").alias("bucket"))
-    leaders = spread.groupBy("bucket").agg(F.min("v").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stage(spread.join(leaders, "bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared_buckets = stage(spread.join(sizes, "bucket"))
+    support = shared_buckets.groupBy("v").agg(F.sum("n").alias("support"))
+    leaders = shared_buckets.join(support, "v").groupBy("bucket").agg(F.max_by("v", F.struct("support", "v")).alias("leader"))
+    members = stage(shared_buckets.join(leaders, "bucket"))
     shared = members.select("v").distinct()
     texts = rows.select("v", "text").join(shared, "v", "left_semi").groupBy("v").agg(F.first("text").alias("text"))
     texts = stage(texts)
     stars = members.where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct()
     links = _verified(stars, texts, signed, similarity)
     roots = components(links)
-    pairs = _remaining(members, roots, signed)
-    more = _verified(pairs, texts, signed, similarity)
+    more = _remaining(members, roots, signed, texts, similarity)
     if not more.isEmpty():
         roots = components(links.union(more))
     labelled = every.select("id", "v").join(roots, "v", "left").select("id", F.coalesce("root", "v").alias("root"))
