@@ -17,7 +17,7 @@ from regionloom.llm.labelled import labelled_sample
 from regionloom.llm.text import Rolling, Texts, by_slices, later, repeated, runs, sums, within
 
 BITS = 17
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 THRESHOLD = 0.3
 
 # fixed values: the rules of the base
