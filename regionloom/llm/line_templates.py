@@ -22,13 +22,15 @@ MIN_DOCS = 3
 FIELD = "<*>"
 # fixed values: white space of words
 _BLANK = r"[\x20\x09-\x0D]+"
+_UNEVEN = r"[\x09-\x0D]|\x20\x20"
 _NUMBERED = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def masked(line: Column) -> Column:
     """Words with one space between them, those with digits as fields."""
-    plain = F.trim(F.regexp_replace(line, _BLANK, " "))
-    return F.regexp_replace(plain, _NUMBERED, FIELD)
+    # both replacements are slow and most lines need neither
+    plain = F.trim(F.when(line.rlike(_UNEVEN), F.regexp_replace(line, _BLANK, " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _NUMBERED, FIELD)).otherwise(plain)
 
 
 def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -50,8 +52,10 @@ def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Lines of at least ``DEPTH`` words with their templates: ``id``, ``digest`` (of the text), ``line`` (number), ``template``."""
     rows = _keys(docs, doc_id, text)
     lines = rows.select("id", "digest", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    lines = lines.withColumn("masked", masked(F.col("content"))).withColumns(_parsed()).where(F.col("n") >= DEPTH)
-    lines = stage(lines.select("id", "digest", "line", F.unhex("leaf").alias("leaf"), F.unhex("own").alias("own")))
+    lines = lines.withColumn("masked", masked(F.col("content"))).withColumns(_parsed())
+    # filtered when they are read again: a filter before would work out the words twice
+    lines = stage(lines.select("id", "digest", "line", "n", F.unhex("leaf").alias("leaf"), F.unhex("own").alias("own")))
+    lines = lines.where(F.col("n") >= DEPTH).drop("n")
     several = lines.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("leaf")
     # one place of each distinct line of such leaves, to read its words there
     places = lines.join(several, "leaf").groupBy("own").agg(F.min(F.struct("id", "digest", "line")).alias("p"))
