@@ -3,8 +3,8 @@
 A template's windows are as long as twice its size class (a power of two of its five-word shingles) and start every size class,
 so a template lies wholly in one of them and makes up a quarter of it or more. One MinHash value is a band; ``BANDS`` of them
 miss such a window with probability 0.75 ** BANDS, 1 in 10,000. What the bands retrieve is verified: the share of the
-template's shingles that the window has. A document without any shingle of any template has no such window, so it is left
-out before windows are made. Only DataFrame functions are used.
+template's shingles that the window has. A document or a window without any shingle of any template cannot hold one, so it is
+left out before bands are made. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -74,14 +74,16 @@ def license_scan(
     templates = TEMPLATES if templates is None else templates
     known = template_table(docs.sparkSession, templates)
     rows = docs.select(F.col(doc_id).alias("id"), shingle_hashes(F.col(text).cast("string")).alias("shingles"))
-    dictionary = F.array(*[shingle_hashes(F.lit(t)) for t in templates.values()])
-    rows = rows.where(F.arrays_overlap("shingles", F.flatten(dictionary)))
+    hashes = [r[0] for r in known.select(F.explode("template")).distinct().collect()]
+    dictionary = F.array(*[F.lit(h) for h in sorted(hashes)])
+    rows = rows.where(F.arrays_overlap("shingles", dictionary))
     classes = F.array(*[F.lit(c) for c in sorted({size_class(t) for t in templates.values()})])
     sized = rows.withColumn("size_class", F.explode(classes))
     starts = F.sequence(F.lit(0), F.size("shingles") - 1, F.col("size_class"))
     windows = sized.withColumn("start", F.explode(starts)).select(
         "id", "size_class", "start", F.slice("shingles", F.col("start") + 1, 2 * F.col("size_class")).alias("window")
     )
+    windows = windows.where(F.arrays_overlap("window", dictionary))
     bands = windows.select("*", F.posexplode(min_hashes(F.col("window"))).alias("band", "value"))
     sought = known.select("license", "size_class", "template", F.posexplode(min_hashes(F.col("template"))).alias("band", "value"))
     retrieved = bands.join(sought, ["size_class", "band", "value"]).dropDuplicates(["id", "license", "start"])
