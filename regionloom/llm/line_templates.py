@@ -3,8 +3,8 @@
 A line's words with digits are variable fields (``<*>``). The tree's first level is the number of words, the next three are the
 leading words. In a leaf, a position is constant if more than half of the leaf's distinct lines have the same word there.
 Lines that have all constant words of their leaf share its template, if enough positions are constant; any other line is
-its own template. A template in ``min_docs`` or more documents recurs: its lines stay in the document with the smallest id
-and are dropped from all others.
+its own template. A line of one or two words is an exact template: only the same words are the same line. A template in
+``min_docs`` or more documents recurs: its lines stay in the document with the smallest id and are dropped from all others.
 
 Lines are numbers until a leaf has several of them; a leaf, a word or a template with a third of all lines is counted by
 partial sums. Only DataFrame functions are used.
@@ -18,7 +18,7 @@ from regionloom.session import stage
 
 DEPTH = 3
 SIMILARITY = 0.7
-MIN_DOCS = 3
+MIN_DOCS = 2
 FIELD = "<*>"
 # fixed values: white space of words
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -26,11 +26,15 @@ _UNEVEN = r"[\x09-\x0D]|\x20\x20"
 _NUMBERED = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
+def spaced(line: Column) -> Column:
+    """Words with one space between them."""
+    # the replacements here and below are slow and most lines need neither
+    return F.trim(F.when(line.rlike(_UNEVEN), F.regexp_replace(line, _BLANK, " ")).otherwise(line))
+
+
 def masked(line: Column) -> Column:
     """Words with one space between them, those with digits as fields."""
-    # both replacements are slow and most lines need neither
-    plain = F.trim(F.when(line.rlike(_UNEVEN), F.regexp_replace(line, _BLANK, " ")).otherwise(line))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _NUMBERED, FIELD)).otherwise(plain)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced(line), _NUMBERED, FIELD)).otherwise(spaced(line))
 
 
 def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -39,31 +43,37 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _parsed() -> dict[str, Column]:
-    """Number of words, leaf of the tree and hash of the column ``masked``."""
+    """Number of words, leaf of the tree (NULL for exact templates) and hash of the columns ``masked`` and ``content``."""
     words = F.split(F.col("masked"), " ")
+    exact = F.size(words) < DEPTH
     return {
-        "n": F.size(words),
-        "leaf": F.md5(F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH))),
-        "own": F.md5("masked"),
+        "n": F.when(F.col("masked") == "", 0).otherwise(F.size(words)),
+        "leaf": F.when(~exact, F.md5(F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH)))),
+        # no line has a newline, so exact hashes are of texts that no masked line has
+        "own": F.md5(F.when(exact, F.concat(F.lit("\n"), spaced(F.col("content")))).otherwise(F.col("masked"))),
     }
 
 
-def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Lines of at least ``DEPTH`` words with their templates: ``id``, ``digest`` (of the text), ``line`` (number), ``template``."""
+def line_templates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, short_lines: bool = True
+) -> DataFrame:
+    """Lines with their templates: ``id``, ``digest`` (of the text), ``line`` (number), ``template``. Lines without words have
+    none; without ``short_lines`` those of fewer than ``DEPTH`` words have none either."""
     rows = _keys(docs, doc_id, text)
     lines = rows.select("id", "digest", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = lines.withColumn("masked", masked(F.col("content"))).withColumns(_parsed())
     # filtered when they are read again: a filter before would work out the words twice
     lines = stage(lines.select("id", "digest", "line", "n", F.unhex("leaf").alias("leaf"), F.unhex("own").alias("own")))
-    lines = lines.where(F.col("n") >= DEPTH).drop("n")
-    several = lines.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("leaf")
+    lines = lines.where(F.col("n") >= (1 if short_lines else DEPTH)).drop("n")
+    several = lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("leaf")
     # one place of each distinct line of such leaves, to read its words there
     places = lines.join(several, "leaf").groupBy("own").agg(F.min(F.struct("id", "digest", "line")).alias("p"))
     wanted = places.groupBy(F.col("p.id").alias("__id"), F.col("p.digest").alias("__digest")).agg(F.collect_list("p.line").alias("wanted"))
     found = rows.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
     # rows that are equal in id and text have the same lines
     content = found.select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
-    read = content.select(masked(F.element_at("all", F.col("line") + 1)).alias("masked")).withColumns(_parsed())
+    read = content.select(F.element_at("all", F.col("line") + 1).alias("content"))
+    read = read.withColumn("masked", masked(F.col("content"))).withColumns(_parsed())
     read = read.select(F.unhex("leaf").alias("leaf"), F.unhex("own").alias("own"), F.split("masked", " ").alias("words")).dropDuplicates(["own"])
     read = stage(read)
     sizes = read.groupBy("leaf").agg(F.count("*").alias("size"))
@@ -78,9 +88,16 @@ def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return lines.join(assigned, "own", "left").select("id", "digest", "line", F.coalesce("shared", "own").alias("template"))
 
 
-def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def dropped_lines(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_docs: int = MIN_DOCS,
+    similarity: float = SIMILARITY,
+    short_lines: bool = True,
+) -> DataFrame:
     """``__id``, ``__digest`` and ``__dropped`` (line numbers from 0 on) of the texts that lose lines."""
-    lines = stage(line_templates(docs, doc_id, text, similarity))
+    lines = stage(line_templates(docs, doc_id, text, similarity, short_lines))
     in_docs = lines.select("template", "id").distinct()
     counts = in_docs.groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     recurring = counts.where(F.col("n") >= min_docs).select("template", "first")
@@ -89,15 +106,20 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
 
 def without_recurring_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_docs: int = MIN_DOCS,
+    similarity: float = SIMILARITY,
+    short_lines: bool = True,
 ) -> DataFrame:
     """``docs`` without the lines of recurring templates, and ``__n_lines``, ``__n_dropped``.
 
-    Lines of fewer than three words always stay. Texts that lose nothing are as they were (NULL stays NULL); one that loses
+    Lines without words always stay, without ``short_lines`` those of fewer than three words too. Texts that lose nothing are as they were (NULL stays NULL); one that loses
     all is empty. Rows with equal ids are one document to the counts. Documents with a NULL id are one document too, after
     all others. An empty table gives no rows; columns other than the id and the text pass through.
     """
-    gone = dropped_lines(docs, doc_id, text, min_docs, similarity)
+    gone = dropped_lines(docs, doc_id, text, min_docs, similarity, short_lines)
     digest = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     keyed = docs.withColumn("__key", digest)
     joined = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest")), "left")

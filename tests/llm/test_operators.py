@@ -91,6 +91,20 @@ def test_templates_generalise_fields(spark):
     assert len(kept[0]) == 3 and all(len(kept[i]) == 1 for i in (1, 2, 3)) and len(kept[9]) == 1
 
 
+def test_lines_of_two_documents_and_short_lines_recur(spark):
+    from regionloom.llm.line_templates import without_recurring_lines
+
+    shared = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    docs = [
+        (1, f"first own line here\n{shared}\nLes.\n\nPage 3\nYes  indeed"),
+        (2, f"second text of another kind\n{shared}\nLes.\n\nPage 4\n Yes\tindeed\nNo"),
+        (3, "third alone\nLes.\nLes.\n\nPage 3"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in without_recurring_lines(frame).collect()}
+    assert kept == {1: docs[0][1], 2: "second text of another kind\n\nPage 4\nNo", 3: "third alone\n"}
+
+
 # ---------------------------------------------------------------- language model
 
 
