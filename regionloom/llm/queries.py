@@ -124,8 +124,8 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM kept
 def op2_line_templates(spark, sf_dir):
     from regionloom.llm.line_templates import without_recurring_lines
 
-    # the rule that the SQL twin states, narrower than that of the operator and the pipeline
-    kept = without_recurring_lines(table(spark, sf_dir, "documents"), min_docs=3, short_lines=False)
+    # the rule that the SQL twin states, not that of the operator and the pipeline
+    kept = without_recurring_lines(table(spark, sf_dir, "documents"), min_docs=3, short_lines=False, leading_counts=True)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
 

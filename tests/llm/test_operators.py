@@ -105,6 +105,15 @@ def test_lines_of_two_documents_and_short_lines_recur(spark):
     assert kept == {1: docs[0][1], 2: "second text of another kind\n\nPage 4\nNo", 3: "third alone\n"}
 
 
+def test_distinct_lines_with_the_same_start_stay(spark):
+    from regionloom.llm.line_templates import without_recurring_lines
+
+    docs = [(i, f"It was the {w}\n12 4{i} 78\nthe report of {w} {i}\n{i} apples and {i} pears") for i, w in enumerate(["best", "worst", "age", "end"])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r.doc_id: r.text.split("\n") for r in without_recurring_lines(frame).collect()}
+    assert kept == {i: t.split("\n")[: 4 if i == 0 else 3] for i, t in docs}
+
+
 # ---------------------------------------------------------------- language model
 
 
