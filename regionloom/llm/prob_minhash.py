@@ -1,16 +1,18 @@
 """Near duplicates by ProbMinHash signatures, banding, exact verification and connected components.
 
-Signatures. Every distinct shingle of a text is a Poisson process whose rate is its weight (1 + log of its count); each
-arrival picks one of the registers at random, and a register keeps the shingle that arrived first. A shingle's process ends
-once its next arrival is later than the latest register of its text. Two texts agree in a register with their probability
-Jaccard similarity.
+Signatures. Every distinct shingle of a text is a Poisson process whose rate is its weight; each arrival picks one of the
+registers at random, and a register keeps the shingle that arrived first. A shingle's process ends once its next arrival is
+later than the latest register of its text. Two texts agree in a register with their probability Jaccard similarity. All
+weights are 1, however often a shingle stands in the text: the links are decided by plain sets, whose Jaccard similarity is
+then what the signatures estimate.
 
 Links. Equal texts are one vertex. A band of registers is a bucket. In each bucket all members are compared with one
 leader, the one with the most company in all its buckets. That joins whole groups of near copies without listing their
 pairs. Only members of a bucket that are still in different classes are then compared with each other; large buckets in
-blocks, each by products of incidence matrices, which give links that join classes, not pairs. So no link between
-different classes is lost, and no list of pairs is longer than its groups. Agreement of the signatures prunes the other
-pairs; the shingle sets decide (Jaccard ``similarity`` or more).
+blocks, each by products of incidence matrices, which give links that join classes, not pairs. So of the pairs that share a
+bucket no link between different classes is left out, and no list of pairs is longer than its groups. Agreement of the
+signatures prunes the other pairs; the shingle sets decide (Jaccard ``similarity`` or more). Signatures are random: a pair
+just at the threshold shares no bucket about 3 times in a million, and is pruned about 2 times in 100,000.
 """
 
 from __future__ import annotations
@@ -84,8 +86,9 @@ def band_hashes(kept: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _signed(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
-    hashes, rows, counts = shingles(texts)
-    kept = signatures(hashes, rows, 1 + np.log(counts), texts.n)
+    hashes, rows, _ = shingles(texts)
+    # the weights of plain sets, by which the links are decided
+    kept = signatures(hashes, rows, np.ones(len(hashes)), texts.n)
     some = np.bincount(rows, minlength=texts.n) > 0
     bands = pa.ListArray.from_arrays(
         pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), pa.array(band_hashes(kept)[some].ravel(), pa.int64())

@@ -279,6 +279,21 @@ def test_signatures_estimate_probability_jaccard():
     assert abs(np.mean(agree) - wanted) < 0.02
 
 
+def test_near_copies_with_a_line_repeated_hundreds_of_times(spark):
+    """Pairs of plain similarity 0.8 to 0.92, where one text repeats a few shingles often."""
+    from regionloom.llm.prob_minhash import near_duplicates
+
+    texts = {}
+    for k in range(60):
+        base = " ".join(f"w{k}_{i}" for i in range(104))
+        size, times = ((6, 200), (20, 20), (16, 300))[k % 3]
+        line = " ".join(f"x{k}_{i}" for i in range(size))
+        texts[2 * k], texts[2 * k + 1] = base, "\n".join([base, *[line] * times])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert found == classes_by_force(texts) == {i: i - i % 2 for i in texts}
+
+
 def test_components_of_a_long_path(spark):
     from regionloom.llm.components import components
 
