@@ -155,3 +155,44 @@ def op9_licenses(spark, sf_dir):
     from regionloom.llm.licenses import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+_OP13 = rf"""
+WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT coalesce(text, '') AS t, min(doc_id) AS first FROM documents GROUP BY 1),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+failing AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+    + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int AS fails
+  FROM words JOIN first USING (t) LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, fails),
+letters AS (SELECT unnest(string_split('ABCDE', '')) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+places AS (SELECT filter_order, step, unnest(range(1, 6)) AS place FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+steps AS (SELECT filter_order, step,
+    sum(CASE WHEN place < step THEN 1 << (ascii(filter_order[place]) - 65) ELSE 0 END)::int AS earlier,
+    sum(CASE WHEN place = step THEN 1 << (ascii(filter_order[place]) - 65) ELSE 0 END)::int AS own
+  FROM places GROUP BY filter_order, step),
+counted AS (SELECT part, filter_order, step, own,
+    sum(CASE WHEN fails & (earlier | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails & own > 0 AND fails & earlier = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & own > 0 AND fails & earlier > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & own > 0 AND fails & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails & own > 0 AND fails & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::int AS step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant,
+  unique_fails::bigint AS unique_fails, good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::bigint AS shapley FROM counted
+"""
+
+
+@query("op13_filter_audit", _OP13)
+def op13_filter_audit(spark, sf_dir):
+    from regionloom.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
