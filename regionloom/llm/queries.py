@@ -196,3 +196,38 @@ def op13_filter_audit(spark, sf_dir):
     from regionloom.llm.filter_audit import filter_audit
 
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OP11 = r"""
+WITH own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(
+    strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) AS place,
+    {'r': coalesce(role, ''), 't': coalesce(text, '')} AS said FROM conversations WHERE conv_id IS NOT NULL),
+crc_bits AS (SELECT b::bigint AS b, list_reduce(list_prepend(b::bigint, range(8)),
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS e FROM range(256) AS t(b)),
+crc AS (SELECT list(e ORDER BY b) AS table_ FROM crc_bits),
+convs AS (SELECT DISTINCT c, c - c % 5 AS base FROM own),
+heads AS (SELECT c, base, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(c::varchar) + 1),
+    lambda i: ascii(substring(c::varchar, i::int, 1))::bigint)), lambda x, y: xor(table_[(xor(x, y) & 255) + 1], x >> 8)), 4294967295::bigint) % 9 AS h FROM convs, crc),
+turns AS (SELECT h.c, o.place, 0 AS part, o.said FROM heads h JOIN own o ON o.c = h.base AND o.place <= h.h
+  UNION ALL SELECT h.c, o.place, 1, o.said FROM heads h JOIN own o ON o.c = h.c AND o.place > h.h),
+said AS (SELECT c, list(said ORDER BY part, place) AS s FROM turns GROUP BY c),
+sequences AS (SELECT c, coalesce(s, []) AS s FROM convs LEFT JOIN said USING (c)),
+prefixes AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM sequences),
+members AS (SELECT c, d, s[1:d] AS p, d = len(s) AS ends, CASE WHEN d > 0 THEN strlen(s[d].t) ELSE 0 END AS bytes FROM prefixes),
+nodes AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+    sha256(coalesce(string_agg(c::varchar, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM members GROUP BY p, d),
+children AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+kinds AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN children k ON k.p = n.p),
+below AS (SELECT v.p[1:u] AS p, sum((n_children = 0)::int) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+  FROM kinds v, unnest(range(0, d + 1)) AS x(u) GROUP BY 1)
+SELECT k.conv_id, k.d::bigint AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children::bigint AS n_children,
+  b.n_leaves::bigint AS n_leaves, b.saved_tokens::bigint AS saved_tokens, k.ends_sha256
+FROM kinds k JOIN below b ON b.p = k.p LEFT JOIN nodes p ON k.d > 0 AND p.d = k.d - 1 AND p.p = k.p[1:k.d - 1]
+"""
+
+
+@query("op11_prefix_trie", _OP11)
+def op11_prefix_trie(spark, sf_dir):
+    from regionloom.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
