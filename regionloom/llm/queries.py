@@ -231,3 +231,23 @@ def op11_prefix_trie(spark, sf_dir):
     from regionloom.llm.prefix_trie import conversation_trie
 
     return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+_OP12 = """
+WITH RECURSIVE valid AS (SELECT vec_id, embedding::double[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(m.least_id, v.vec_id)) AS component_id,
+  v.vec_id = least(v.vec_id, coalesce(m.least_id, v.vec_id)) AS kept
+FROM embeddings v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = v.vec_id
+LEFT JOIN (SELECT a, min(b) AS least_id FROM reached GROUP BY a) m ON m.a = v.vec_id
+"""
+
+
+@query("op12_near_vectors", _OP12)
+def op12_near_vectors(spark, sf_dir):
+    from regionloom.llm.near_vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
