@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from regionloom.functions import geo
 from regionloom.functions.scalars import known
+from regionloom.operators.pivots import nearest_vectors
 from regionloom.session import stage
 
 BITS = 20
@@ -355,12 +356,21 @@ def _feature_points(df: DataFrame, features: list[str], row_id: str, copies: int
 
 
 def k_nearest(
-    left: DataFrame, right: DataFrame, features: list[str], k: int, row_id: str, exclude_same_id: bool = False
+    left: DataFrame, right: DataFrame, features: list[str] | str, k: int, row_id: str, exclude_same_id: bool = False
 ) -> DataFrame:
     """(id, neighbour_id, distance, rank): the k closest right rows of every left row in Euclidean distance over
-    one to three features, ties by id. A row without one of its features (NULL, NaN) has no neighbours and is none."""
-    if not 1 <= len(features) <= 3:
-        raise ValueError("one to three features")
+    any number of features, ties by id. A row without one of its features (NULL, NaN) has no neighbours and is none.
+
+    Up to three features are searched by cells in SQL expressions, more of them, or one column of arrays, by pivots
+    (``pivots.nearest_vectors``).
+    """
+    if not features:
+        raise ValueError("at least one feature")
+    if isinstance(features, str):
+        return nearest_vectors(left, right, features, k, row_id, exclude_same_id)
+    if len(features) > 3:
+        left, right = (t.select(row_id, F.array(*[F.col(f).cast("double") for f in features]).alias("__v")) for t in (left, right))
+        return nearest_vectors(left, right, "__v", k, row_id, exclude_same_id)
     need = k + 1 if exclude_same_id else k
     lefts = _feature_points(left, features, row_id, 0)
     spots = lefts.groupBy("g", *AXES).agg(F.count(F.lit(1)).alias("w"))
@@ -422,7 +432,7 @@ def knn_graph(df: DataFrame, features: list[str], k: int, row_id: str, scale: bo
 
 
 def knn_predict(
-    train: DataFrame, query: DataFrame, features: list[str], target: str, k: int = 3, row_id: str = "id", continuous: bool = True
+    train: DataFrame, query: DataFrame, features: list[str] | str, target: str, k: int = 3, row_id: str = "id", continuous: bool = True
 ) -> DataFrame:
     """(id, prediction): mean of the k nearest training rows, or their most frequent label (smallest on a tie)."""
     found = k_nearest(query, train, features, k, row_id)

@@ -125,6 +125,47 @@ def knn_classification(spark, sf_dir):
     )
 
 
+_VECTORS = "e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+@query(
+    "knn_embeddings",
+    f"""WITH {_VECTORS}, d AS (SELECT a.id, b.id AS neighbour_id, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.id <> b.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour_id) AS r FROM d) SELECT id, neighbour_id, round(distance, 6) AS distance, r::INTEGER AS rank FROM r WHERE r <= 5""",
+)
+def knn_embeddings(spark, sf_dir):
+    """The five nearest other vectors of every vector, in all 64 dimensions."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.k_nearest(rows, rows, "embedding", 5, "vec_id", exclude_same_id=True).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "knn_labels_of_embeddings",
+    f"""WITH {_VECTORS}, d AS (SELECT q.id, t.label, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, t.v), t.id) AS r FROM e q, e t WHERE q.id % 3 = 0 AND t.id % 3 <> 0),
+    v AS (SELECT id, label, count(*) AS n FROM d WHERE r <= 5 GROUP BY ALL) SELECT id, arg_min(label, (-n, label)) AS prediction FROM v GROUP BY id""",
+)
+def knn_labels_of_embeddings(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.knn_predict(rows.where("vec_id % 3 <> 0"), rows.where("vec_id % 3 = 0"), "embedding", "label", 5, "vec_id", continuous=False)
+
+
+_PARTS = """p AS (SELECT p_partkey AS id, p_size::DOUBLE AS a, p_retailprice AS b, avg(l_quantity) AS c, avg(l_discount) AS d, avg(l_tax) AS e FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL),
+    z AS (SELECT id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b, (c - avg(c) OVER ()) / stddev_pop(c) OVER () AS c,
+    (d - avg(d) OVER ()) / stddev_pop(d) OVER () AS d, (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS e FROM p)"""
+
+
+@query(
+    "knn_graph_of_parts",
+    f"""WITH {_PARTS}, g AS (SELECT x.id, y.id AS neighbour_id, sqrt((x.a - y.a)**2 + (x.b - y.b)**2 + (x.c - y.c)**2 + (x.d - y.d)**2 + (x.e - y.e)**2) AS distance FROM z x JOIN z y ON x.id <> y.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour_id) AS r FROM g) SELECT id, neighbour_id, round(distance, 4) AS distance, r::INTEGER AS rank FROM r WHERE r <= 4""",
+)
+def knn_graph_of_parts(spark, sf_dir):
+    """Parts that are alike in size, price and the means of their orders: five standardized features."""
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*[F.avg(f"l_{c}").alias(c) for c in ("quantity", "discount", "tax")])
+    parts = table(spark, sf_dir, "part").join(orders, F.col("p_partkey") == F.col("l_partkey"))
+    return neighbours.knn_graph(parts, ["p_size", "p_retailprice", "quantity", "discount", "tax"], 4, "p_partkey")
+
+
 # ---------------------------------------------------------------- footprints
 
 
