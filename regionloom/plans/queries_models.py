@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regionloom.models import classification, clustering, cross, decomposition, regression, series
+from regionloom.operators.columns import normalize
 from regionloom.plans.registry import query
-from regionloom.plans.views import events, table
+from regionloom.plans.views import EV, events, table
 
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -119,6 +120,27 @@ def kmeans_clusters(spark, sf_dir):
     return profiles.withColumns({"inertia": F.lit(round(found.inertia, 4)), "silhouette": F.lit(round(found.silhouette, 4))})
 
 
+# any six places in the standardized space will do
+_CENTRES = [[-0.8, -0.8, -0.5], [-0.8, 0.8, 0.5], [0.0, 0.0, -1.0], [0.0, 0.0, 1.0], [0.8, -0.8, 0.5], [0.8, 0.8, -0.5]]
+_CENTRE_ROWS = ", ".join(f"({j}, {', '.join(f'{v}::DOUBLE' for v in c)})" for j, c in enumerate(_CENTRES))
+
+
+@query(
+    "kmeans_assignment",
+    f"""WITH {EV}, v AS (SELECT event_id, latitude AS a, longitude AS b, epoch(ts)::BIGINT::DOUBLE AS c FROM ev),
+    z AS (SELECT event_id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b, (c - avg(c) OVER ()) / stddev_pop(c) OVER () AS c FROM v),
+    k(cluster, x, y, w) AS (VALUES {_CENTRE_ROWS}), d AS (SELECT event_id, a, b, c, cluster, (a - x)**2 + (b - y)**2 + (c - w)**2 AS square FROM z, k),
+    n AS (SELECT event_id, arg_min(cluster, square) AS cluster, min(square) AS square FROM d GROUP BY event_id)
+    SELECT cluster::INTEGER AS cluster, count(*) AS n, round(sum(square), 2) AS inertia FROM n GROUP BY cluster""",
+)
+def kmeans_assignment(spark, sf_dir):
+    """Rows and inertia of each of six given centres: the step that k-means repeats."""
+    ev = events(spark, sf_dir).withColumn("seconds", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"))
+    names = ["latitude", "longitude", "seconds"]
+    found = clustering.assigned(normalize(ev, names), names, _CENTRES)
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("__square"), 2).alias("inertia"))
+
+
 @query(
     "cluster_profiles",
     "WITH k AS (SELECT range AS cluster FROM range(7)) SELECT cluster, count(l_quantity) AS n, round(avg(l_quantity), 4) AS l_quantity_mean, round(avg(l_discount), 4) AS l_discount_mean FROM k LEFT JOIN lineitem ON l_linenumber % 6 = cluster GROUP BY cluster",

@@ -38,6 +38,74 @@ def test_clusters(blobs):
     assert clustering.cluster_profiles(found.labels, ["a"], 5).where("n = 0").count() == 2
 
 
+def test_clusters_against_plain_lloyd_steps(spark):
+    """The result is a fixed point of Lloyd's step up to the tolerance, and no worse than the best of plain starts."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.8, (n, 3)) for c, n in ((0, 900), (2, 300), (5, 150), (-3, 40))])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"]).reset_index(names="id")).repartition(7)
+    found = clustering.kmeans(df, ["a", "b", "c"], 4, scale=False, keep=["id"], tolerance=1e-10)
+    labels = np.array([c for _, c in sorted((r["id"], r["cluster"]) for r in found.labels.collect())])
+    centers = np.array(found.centers)
+    squares = ((x[:, None] - centers) ** 2).sum(axis=2)
+    assert (labels == squares.argmin(axis=1)).all()
+    assert found.inertia == pytest.approx(squares.min(axis=1).sum(), rel=1e-6)
+    assert centers == pytest.approx(np.array([x[labels == j].mean(axis=0) for j in range(4)]), abs=1e-3)
+
+    def plain(seed):
+        c = x[np.random.default_rng(seed).choice(len(x), 4, replace=False)]
+        for _ in range(100):
+            near = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(4)])
+        return ((x[:, None] - c) ** 2).sum(axis=2).min(axis=1).sum()
+
+    assert found.inertia <= min(plain(s) for s in range(10)) * 1.001
+    again = clustering.kmeans(df.repartition(3), ["a", "b", "c"], 4, scale=False, tolerance=1e-10)
+    assert again.centers == found.centers
+
+
+def test_settled_rows_are_not_measured_again(spark):
+    """Sums for moved centres, with only the rows of small margins measured, are those of all rows."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.5, (400, 2)) for c in (0, 4, 9)])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    base = np.array([[0.1, 0.0], [4.0, 4.2], [9.0, 8.9]])
+    held = clustering._Rows(df, ["a", "b"], base)
+    for move in (0.0, 0.01, 0.3, 2.5):
+        centers = base + move * np.array([[1, -1], [-1, 0.5], [0.2, 1]])
+        sums, share = held.sums(centers)
+        near = ((x[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+        assert list(sums.n) == [np.count_nonzero(near == j) for j in range(3)]
+        assert sums.inertia(centers) == pytest.approx(((x[:, None] - centers) ** 2).sum(axis=2).min(axis=1).sum(), rel=1e-9)
+        assert share < 0.5 or move > 1
+        assert held.labelled(centers).groupBy("cluster").count().count() == 3
+
+
+def test_silhouette_is_euclidean(spark):
+    rng = np.random.default_rng(9)
+    x, labels = rng.normal(0, 1, (90, 2)), np.repeat([0, 1, 2, 3], [50, 30, 9, 1])
+    x[labels == 1] += 3
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "cluster": labels.astype(np.int32)}))
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    scores = []
+    for i in range(90):
+        own = labels == labels[i]
+        if own.sum() == 1:
+            scores.append(0.0)
+            continue
+        a = d[i, own].sum() / (own.sum() - 1)
+        b = min(d[i, labels == j].mean() for j in range(4) if j != labels[i])
+        scores.append((b - a) / max(a, b))
+    assert clustering.silhouette(df, ["a", "b"], 4) == pytest.approx(np.mean(scores), abs=1e-9)
+
+
+def test_clusters_of_few_distinct_rows(spark):
+    df = spark.createDataFrame([(1.0, None), (1.0, 2.0), (1.0, 2.0), (1.0, 2.0), (float("nan"), 2.0)], "a double, b double")
+    found = clustering.kmeans(df, ["a", "b"], 3)
+    assert found.k == 1 and found.labels.count() == 3 and found.inertia == 0.0
+    two = clustering.kmeans(df.unionByName(df.withColumn("b", df["b"] + 1)), ["a", "b"], 3)
+    assert two.k == 2 and two.inertia == pytest.approx(0.0, abs=1e-9) and two.silhouette == pytest.approx(1.0)
+
+
 def test_pca_against_numpy(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(0, 1, (200, 3))
