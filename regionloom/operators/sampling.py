@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from regionloom.functions.scalars import to_numeric
@@ -16,6 +18,8 @@ Z_VALUES = {0.90: 1.645, 0.95: 1.960, 0.99: 2.576}
 SMALL_T_VALUES = {1: 12.706, 2: 4.303, 5: 2.571, 10: 2.228, 20: 2.086, 30: 2.042}
 
 _TWO_32 = float(1 << 32)
+#: Groups of rows that a bootstrap over a whole table weighs.
+GROUPS = 4096
 
 
 def z_critical(confidence: float) -> float:
@@ -63,7 +67,8 @@ def confidence_interval(
 ) -> DataFrame:
     """One row: mean, standard error and interval of a column over the whole table.
 
-    ``method``: ``t_interval``, ``z_interval`` or ``bootstrap`` (Poisson bootstrap, needs ``row_id``).
+    ``method``: ``t_interval``, ``z_interval``, ``bootstrap`` (Poisson bootstrap) or ``little_bootstraps`` (the mean of their
+    errors and interval ends, moved from the means of the subsets to that of the table); the last two need ``row_id``.
     ``t_mode``: ``table`` stays lazy; ``exact`` first counts the rows.
     """
     value = to_numeric(target)
@@ -75,6 +80,14 @@ def confidence_interval(
 
         wide = attach(base, spread)
         return _report(wide, F.col("se"), F.col("low"), F.col("high"), confidence, method)
+    if method == "little_bootstraps":
+        known = df.select(F.col(row_id).alias("__id"), value.alias("__v"))
+        bag = little_bootstraps(known, "__v", "__id", confidence=confidence, replicates=n_bootstrap)
+        ends = bag.agg(F.avg("se").alias("se"), F.avg(F.col("low") - F.col("m")).alias("low"), F.avg(F.col("high") - F.col("m")).alias("high"))
+        from regionloom.operators.columns import attach
+
+        wide = attach(base, ends)
+        return _report(wide, F.col("se"), F.col("estimate") + F.col("low"), F.col("estimate") + F.col("high"), confidence, method)
     se = F.col("__s") / F.sqrt("n")
     if method == "z_interval":
         critical = F.lit(z_critical(confidence))
@@ -147,23 +160,68 @@ def poisson_weights(k: int = 12) -> list[float]:
     return ends
 
 
-def poisson_bootstrap_means(df: DataFrame, value: str, row_id: str, n_iter: int = 1000, seed: int = 42) -> DataFrame:
+def poisson_bootstrap_means(df: DataFrame, value: str, row_id: str, n_iter: int = 1000, seed: int = 42, groups: int = GROUPS) -> DataFrame:
     """(rep, m): replicate means over a table of any size.
 
-    Every (row, replicate) has a hashed Poisson(1) weight; the sums per replicate are formed in each task before the
-    shuffle, so only ``n_iter`` rows per task travel.
+    Rows fall into ``groups`` groups by a hash of their id, and one pass adds up each group. A replicate weighs whole groups
+    by hashed Poisson(1) numbers, so beyond that pass the cost is ``groups`` times ``n_iter`` whatever the rows. Random
+    groups are independent draws as rows are; the standard error carries a relative error of 1 / sqrt(2 * groups) for it.
     """
-    reps = spread(df).select(F.col(row_id).alias("__id"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("rep"))
-    u = _uniform(F.col("__id"), F.col("rep"), F.lit(seed))
+    group = F.floor(_uniform(F.col(row_id), F.lit(seed)) * groups).cast("long")
+    totals = df.where(F.col(value).isNotNull()).groupBy(group.alias("g")).agg(F.sum(value).alias("v"), F.count(value).alias("c"))
+    reps = spread(totals).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("rep"))
+    u = _uniform(F.col("g"), F.col("rep"), F.lit(seed))
     ends = poisson_weights()
     weight = F.when(F.col("u") < ends[0], 0)
     for i, end in enumerate(ends[1:], start=1):
         weight = weight.when(F.col("u") < end, i)
     weighted = reps.withColumn("u", u).withColumn("w", weight.otherwise(len(ends)))
-    sums = weighted.groupBy("rep").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n"))
+    sums = weighted.groupBy("rep").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum(F.col("w") * F.col("c")).alias("n"))
     return sums.select(F.col("rep").cast("bigint").alias("rep"), F.try_divide("s", "n").alias("m"))
 
 
+def resampled_means(values: np.ndarray, n: int, replicates: int, random: np.random.Generator) -> np.ndarray:
+    """Means of ``replicates`` samples of size ``n``, drawn with repetition from a subset: only how often a value is drawn."""
+    means = []
+    at_once = max(1, (1 << 22) // len(values))
+    for first in range(0, replicates, at_once):
+        times = random.multinomial(n, np.full(len(values), 1 / len(values)), size=min(at_once, replicates - first))
+        means.append(times @ values / n)
+    return np.concatenate(means)
+
+
+def interval_ends(means: np.ndarray, confidence: float) -> tuple[float, float]:
+    alpha, n = 1 - confidence, len(means)
+    means = np.sort(means)
+    return means[int(round(alpha / 2 * n, 9))], means[min(int(round((1 - alpha / 2) * n, 9)), n - 1)]
+
+
+def little_bootstraps(
+    df: DataFrame, value: str, row_id: str, subsets: int = 20, power: float = 0.6, replicates: int = 200, confidence: float = 0.95, seed: int = 42
+) -> DataFrame:
+    """One row per little bootstrap: ``subset``, its ``size`` and mean ``m``, and ``se``, ``low``, ``high`` of replicates of full size.
+
+    A bag of little bootstraps: ``subsets`` disjoint subsets of about n ** ``power`` rows, chosen by a hash of the id, are each
+    resampled to the size n of the whole table. A replicate is the multinomial numbers of times its rows are drawn, so work
+    and memory of a task follow the subset, and no row is repeated. A small table has as many subsets as fit, one at least.
+    """
+    known = df.select(F.col(row_id).alias("__id"), F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
+    n = known.count()
+    size = min(max(n, 1), max(2, math.ceil(n**power)))
+    count = max(1, min(subsets, n // size))
+    place = F.floor(_uniform(F.col("__id"), F.lit(seed), F.lit("subset")) * F.lit(n / size)).cast("int")
+    chosen = known.withColumn("subset", place if n > size else F.lit(0)).where(F.col("subset") < count)
+
+    def replicated(part: pd.DataFrame) -> pd.DataFrame:
+        subset = int(part["subset"].iloc[0])
+        values = part.sort_values("__id")["__v"].to_numpy()
+        means = resampled_means(values, n, replicates, np.random.default_rng([seed, subset]))
+        low, high = interval_ends(means, confidence)
+        return pd.DataFrame([[subset, len(values), values.mean(), means.std(ddof=1), low, high]], columns=["subset", "size", "m", "se", "low", "high"])
+
+    return chosen.groupBy("subset").applyInPandas(replicated, "subset int, size long, m double, se double, low double, high double")
+
+
 def uncertainty(
     df: DataFrame,
     target: str,

@@ -177,3 +177,42 @@ def test_staging_needs_a_shared_folder_on_a_cluster(spark):
     context = SimpleNamespace(getConf=lambda: conf, master="yarn", applicationId="app")
     with pytest.raises(RuntimeError):
         staging_folder(SimpleNamespace(sparkContext=context, conf=conf))
+
+
+def test_little_bootstraps_cover_the_mean_as_often_as_they_say():
+    """Four hundred tables: the intervals of one subset of n ** 0.6 rows each, moved to the table's mean."""
+    random = np.random.default_rng(12)
+    n, size, covered, ses = 2000, 96, 0, []
+    for _ in range(400):
+        values = random.exponential(1.0, n)
+        subset = values[:size]
+        means = sampling.resampled_means(subset, n, 100, random)
+        low, high = sampling.interval_ends(means, 0.95)
+        covered += values.mean() + low - subset.mean() <= 1.0 <= values.mean() + high - subset.mean()
+        ses.append(means.std(ddof=1))
+    assert 0.90 <= covered / 400 <= 0.98
+    assert np.mean(ses) == pytest.approx(1 / np.sqrt(n), rel=0.05)
+
+
+def test_bootstraps_of_whole_tables_agree_with_theory(spark):
+    random = np.random.default_rng(13)
+    values = random.exponential(2.0, 30_000)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id long, v double")
+    theory = values.std(ddof=1) / np.sqrt(len(values))
+    for method in ("bootstrap", "little_bootstraps"):
+        row = sampling.confidence_interval(df, "v", method=method, row_id="id", n_bootstrap=500).first()
+        assert row["uncertainty"] == pytest.approx(theory, rel=0.1), method
+        assert row["estimate"] == pytest.approx(values.mean(), abs=1e-6)
+        assert row["ci_low"] == pytest.approx(values.mean() - 1.96 * theory, abs=0.35 * theory)
+        assert row["ci_high"] == pytest.approx(values.mean() + 1.96 * theory, abs=0.35 * theory)
+    bag = sampling.little_bootstraps(df, "v", "id").collect()
+    assert len(bag) == 20 and all(300 < r["size"] < 700 for r in bag)
+
+
+def test_little_bootstraps_of_small_and_empty_tables(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(5)] + [(9, None)], "id long, v double")
+    (row,) = sampling.little_bootstraps(df, "v", "id").collect()
+    assert row["size"] <= 5 and row["subset"] == 0
+    assert sampling.little_bootstraps(df.limit(0), "v", "id").collect() == []
+    empty = sampling.confidence_interval(df.limit(0), "v", method="little_bootstraps", row_id="id").first()
+    assert empty["sample_size"] == 0 and empty["warning"]
