@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from regionloom.models import kalman
 from regionloom.operators.positions import number_rows
 from regionloom.operators.tables import top_k
 from regionloom.session import stage
@@ -186,14 +187,79 @@ def _apply(coef: str, regressors: list[str]):
     return total
 
 
-def arima(df: DataFrame, key: str, t: str, y: str, order=(1, 1, 1), steps: int = 10, block: int = 65_536):
-    """(fits, forecasts) of ARIMA(p, d, q) per series by the two-step regression of Hannan and Rissanen (1982).
+def _by_likelihood(rows: DataFrame, solved: DataFrame, model: kalman.Model, d: int, key: str, kind: str, steps: int):
+    """Fits and forecasts at the greatest likelihood, from the rows in blocks and the coefficients to start with.
+
+    Values are divided by their deviation first, so that one size of step suits all series.
+    """
+    known = rows.where("w IS NOT NULL")
+    scales = known.groupBy("key").agg(F.avg("w").alias("centre"), F.stddev_pop("w").alias("scale"))
+    scales = stage(scales.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)))
+    packed = known.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("v"))
+    blocks = packed.join(scales, "key").select("key", "block", F.transform("v", lambda x: x["w"] / F.col("scale")).alias("w"))
+
+    def started(batches):
+        for batch in batches:
+            us = []
+            for coef, centre, scale in zip(batch["coef"], batch["centre"], batch["scale"], strict=True):
+                rest = list(coef)[1:] if model.mean else list(coef)
+                us.append([*([centre / scale] if model.mean else []), *kalman.free_numbers(rest[: model.p]), *kalman.free_numbers(-np.array(rest[model.p :]))])
+            yield pd.DataFrame({"key": batch["key"], "u": us})
+
+    starts = stage(scales.join(solved.select("key", "coef"), "key").mapInPandas(started, f"key {kind}, u array<double>"))
+    found = stage(kalman.likelihood_fits(stage(blocks), starts, model, kind).join(scales, "key"))
+
+    def reported(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                level, phi, theta = model.parts(row.u)
+                constant = [level * (1 - phi.sum()) * row.scale] if model.mean else []
+                value, variance = model.deviance(kalman.Element.unpacked(row.element, model.states), row.u, row.n)
+                sure = variance > 1e-200
+                out.append((row.key, row.n, [*constant, *phi, *theta], variance * row.scale**2 if sure else 0.0, value + 2 * row.n * math.log(row.scale) if sure else None))
+            yield pd.DataFrame(out, columns=["key", "n", "coef", "sigma2", "deviance"])
+
+    fits = stage(found.mapInPandas(reported, f"key {kind}, n long, coef array<double>, sigma2 double, deviance double"))
+    free = model.p + model.q + int(model.mean) + 1
+    measures = fits.select(
+        F.col("key").alias(key), "n", "coef", "sigma2",
+        F.round(F.col("deviance") + 2 * free, 2).alias("aic"),
+        F.round(F.col("deviance") + free * F.log("n"), 2).alias("bic"),
+        F.round(F.sqrt("sigma2"), 4).alias("rmse"),
+    )
+    ends = rows.groupBy("key").agg(F.max("i").alias("last"))
+    recent = rows.join(ends, "key").where(F.col("i") > F.col("last") - max(d, 1)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "y"))).alias("v"))
+    state = recent.select("key", F.transform("v", lambda x: x["y"]).alias("past")).join(found, "key").join(fits.select("key", "sigma2"), "key")
+
+    def ahead(batches):
+        for batch in batches:
+            parts = []
+            for row in batch.itertuples():
+                element = kalman.Element.unpacked(row.element, model.states)
+                values, variances = kalman.forecast_parts(model, row.u, element, steps, d, np.asarray(row.past) / row.scale)
+                half = 1.959964 * np.sqrt(row.sigma2 * variances)
+                values = values * row.scale
+                parts.append(pd.DataFrame({"key": row.key, "step": np.arange(1, steps + 1), "forecast": values, "ci_low": values - half, "ci_high": values + half}))
+            if parts:
+                yield pd.concat(parts)
+
+    columns = state.select("key", "past", "u", "element", "scale", "sigma2")
+    forecasts = columns.mapInPandas(ahead, f"key {kind}, step int, forecast double, ci_low double, ci_high double")
+    return measures, forecasts.withColumnRenamed("key", key)
+
+
+def arima(df: DataFrame, key: str, t: str, y: str, order=(1, 1, 1), steps: int = 10, block: int = 65_536, method: str = "likelihood"):
+    """(fits, forecasts) of ARIMA(p, d, q) per series.
 
     fits: (key, n, coef, sigma2, aic, bic, rmse), the coefficients in the order constant (only when d = 0), AR, MA.
-    forecasts: (key, step, forecast, ci_low, ci_high) with 95 % bounds. Not the exact maximum likelihood.
-    All regressions are sums of products over overlapping blocks of positions, so a series of any length spreads over
-    many tasks.
+    forecasts: (key, step, forecast, ci_low, ci_high) with 95 % bounds. ``method``: ``likelihood`` maximises the exact
+    likelihood of the differenced series (stationary, invertible; see ``kalman``), starting from ``two_step``, the
+    regression of Hannan and Rissanen (1982). Sums of products and filters alike run over blocks of positions, so a
+    series of any length spreads over many tasks.
     """
+    if method not in ("likelihood", "two_step"):
+        raise ValueError(f"unknown method: {method}")
     p, d, q = order
     long_ar = max(p, q) + 4 if q else 0
     halo = d + long_ar + max(p, q) + 1
@@ -219,6 +285,8 @@ def arima(df: DataFrame, key: str, t: str, y: str, order=(1, 1, 1), steps: int =
     rows = stage(rows.where("own"))
     regressors = constant + ar + [f"e{j}" for j in range(1, q + 1)]
     solved = _least_squares(rows, "w", regressors, kind)
+    if method == "likelihood":
+        return _by_likelihood(rows, solved, kalman.Model(p, q, d == 0), d, key, kind, steps)
     fitted = rows.join(solved.select("key", "coef"), "key").withColumn("u", F.col("w") - _apply("coef", regressors))
     measures = fitted.where("u IS NOT NULL").groupBy("key").agg(F.count("u").alias("n"), F.avg(F.col("u") * F.col("u")).alias("sigma2"))
     free = len(regressors) + 1

@@ -185,10 +185,27 @@ def fourier_of_long_series(spark, sf_dir):
     SELECT source_key, count(*) AS n, round(any_value(phi), 6) AS phi, round(count(*) * (ln(2 * pi() * avg(u * u)) + 1) + 4, 2) AS aic, round(count(*) * (ln(2 * pi() * avg(u * u)) + 1) + 2 * ln(count(*)), 2) AS bic, round(sqrt(avg(u * u)), 4) AS rmse FROM u GROUP BY source_key""",
 )
 def arima_110(spark, sf_dir):
-    fits, _ = series.arima(hourly(spark, sf_dir), "source_key", "hour", "y", order=(1, 1, 0), block=256)
+    fits, _ = series.arima(hourly(spark, sf_dir), "source_key", "hour", "y", order=(1, 1, 0), block=256, method="two_step")
     return fits.select("source_key", "n", F.round(F.get("coef", F.lit(0)), 6).alias("phi"), "aic", "bic", "rmse")
 
 
+@query(
+    "arima_exact_110",
+    f"""WITH RECURSIVE {_HOURLY}, d AS (SELECT source_key, i, y - lag(y) OVER w AS w FROM n WINDOW w AS (PARTITION BY source_key ORDER BY i)), l AS (SELECT source_key, w, lag(w) OVER (PARTITION BY source_key ORDER BY i) AS v FROM d WHERE w IS NOT NULL),
+    c AS (SELECT source_key, count(*) AS n, sum(w * w) FILTER (v IS NOT NULL) AS a, sum(w * v) AS b, sum(v * v) AS e, sum(w * w) FILTER (v IS NULL) AS f FROM l GROUP BY source_key),
+    h(source_key, low, high, step) AS (SELECT source_key, -0.999999::DOUBLE, 0.999999::DOUBLE, 0 FROM c UNION ALL
+      SELECT source_key, CASE WHEN n * 2 * (m * (e - f) - b) / (f + a - 2 * m * b + m * m * (e - f)) + 2 * m / (1 - m * m) < 0 THEN m ELSE low END,
+        CASE WHEN n * 2 * (m * (e - f) - b) / (f + a - 2 * m * b + m * m * (e - f)) + 2 * m / (1 - m * m) < 0 THEN high ELSE m END, step + 1
+      FROM (SELECT h.*, c.* EXCLUDE source_key, (low + high) / 2 AS m FROM h JOIN c USING (source_key) WHERE step < 60)),
+    r AS (SELECT source_key, n, low AS phi, (f + a - 2 * low * b + low * low * (e - f)) / n AS s FROM h JOIN c USING (source_key) WHERE step = 60)
+    SELECT source_key, n, round(phi, 4) AS phi, round(n * (ln(2 * pi() * s) + 1) - ln(1 - phi * phi) + 4, 2) AS aic, round(n * (ln(2 * pi() * s) + 1) - ln(1 - phi * phi) + 2 * ln(n), 2) AS bic, round(sqrt(s), 4) AS rmse FROM r""",
+)
+def arima_exact_110(spark, sf_dir):
+    """The exact likelihood, filtered in blocks of 256 hours; of one coefficient it is a formula that SQL can bisect."""
+    fits, _ = series.arima(hourly(spark, sf_dir), "source_key", "hour", "y", order=(1, 1, 0), block=256)
+    return fits.select("source_key", "n", F.round(F.get("coef", F.lit(0)), 4).alias("phi"), "aic", "bic", "rmse")
+
+
 @query("arima_forecasts")
 def arima_forecasts(spark, sf_dir):
     _, forecasts = series.arima(hourly(spark, sf_dir), "source_key", "hour", "y", order=(1, 1, 1), steps=10)

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from regionloom.models import classification, clustering, cross, decomposition, regression, series
+from regionloom.models import classification, clustering, cross, decomposition, kalman, regression, series
 
 
 @pytest.fixture(scope="module")
@@ -159,8 +159,8 @@ def simulate(n, seed):
 def test_arima_blocks_do_not_matter(spark):
     frames = [pd.DataFrame({"s": k, "t": np.arange(n), "y": simulate(n, i)}) for i, (k, n) in enumerate((("hot", 4000), ("small", 300)))]
     df = spark.createDataFrame(pd.concat(frames))
-    one, f_one = series.arima(df, "s", "t", "y", (1, 1, 1), 5, block=10**6)
-    many, f_many = series.arima(df, "s", "t", "y", (1, 1, 1), 5, block=64)
+    one, f_one = series.arima(df, "s", "t", "y", (1, 1, 1), 5, block=10**6, method="two_step")
+    many, f_many = series.arima(df, "s", "t", "y", (1, 1, 1), 5, block=64, method="two_step")
     a = {r["s"]: r for r in one.collect()}
     b = {r["s"]: r for r in many.collect()}
     assert a["hot"]["coef"] == pytest.approx([0.6, 0.3], abs=0.06)
@@ -174,6 +174,73 @@ def test_arima_blocks_do_not_matter(spark):
     assert (np.diff(width) > 0).all()
 
 
+def plain_filter(w, phi, theta):
+    """-2 log likelihood and noise variance by a Kalman filter, value by value."""
+    t, load = kalman.matrices(np.array(phi), np.array(theta))
+    r = len(t)
+    spread = np.linalg.solve(np.eye(r * r) - np.kron(t, t), np.outer(load, load).ravel()).reshape(r, r)
+    x, logs, squares = np.zeros(r), 0.0, 0.0
+    for y in w:
+        x, spread = t @ x, t @ spread @ t.T + np.outer(load, load)
+        size, miss = spread[0, 0], y - x[0]
+        gain = spread[:, 0] / size
+        x, spread = x + gain * miss, spread - np.outer(gain, spread[0])
+        logs, squares = logs + np.log(size), squares + miss * miss / size
+    variance = squares / len(w)
+    return len(w) * (np.log(2 * np.pi * variance) + 1) + logs, variance, x
+
+
+@pytest.mark.parametrize("phi,theta", [([0.5], []), ([], [0.4]), ([0.5, -0.3], [0.4, 0.2, 0.1]), ([1.2, -0.4], [-0.6])])
+def test_scan_over_blocks_is_the_filter(phi, theta):
+    w = np.random.default_rng(3).normal(0, 1, 403).cumsum() * 0.2
+    want = plain_filter(w, phi, theta)
+    phi, theta = np.array(phi), np.array(theta)
+    for cuts in ([], [1], [200], [17, 64, 65, 301]):
+        parts = [kalman.block_element(x, phi, theta) for x in np.split(w, cuts)]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = kalman.combined(whole, kalman.Element.unpacked(part.packed(), len(part.a)))
+        got = kalman.deviance(whole, phi, theta, len(w))
+        assert got == pytest.approx(want[:2], rel=1e-9)
+        assert kalman.from_start(whole, phi, theta).b == pytest.approx(want[2], abs=1e-8)
+
+
+def test_arima_likelihood(spark, monkeypatch):
+    """AIC and BIC are those of a plain filter at the coefficients, no other coefficients do better, blocks do not matter."""
+    monkeypatch.setattr(kalman, "FAN", 4)
+    frames = [pd.DataFrame({"s": k, "t": np.arange(n), "y": simulate(n, i)}) for i, (k, n) in enumerate((("hot", 1500), ("small", 120)))]
+    df = spark.createDataFrame(pd.concat(frames))
+    one, f_one = series.arima(df, "s", "t", "y", (1, 1, 1), 5)
+    many, f_many = series.arima(df, "s", "t", "y", (1, 1, 1), 5, block=64)
+    a, b = ({r["s"]: r for r in x.collect()} for x in (one, many))
+    for frame in frames:
+        k, w = frame["s"][0], np.diff(frame["y"])
+        value, variance, state = plain_filter(w, a[k]["coef"][:1], a[k]["coef"][1:])
+        assert a[k]["n"] == len(w) and a[k]["sigma2"] == pytest.approx(variance, rel=1e-6)
+        assert a[k]["aic"] == pytest.approx(value + 6, abs=0.006) and a[k]["bic"] == pytest.approx(value + 3 * np.log(len(w)), abs=0.006)
+        for move in ((0.02, 0), (-0.02, 0), (0, 0.02), (0, -0.02), (0.02, -0.02)):
+            assert plain_filter(w, [a[k]["coef"][0] + move[0]], [a[k]["coef"][1] + move[1]])[0] > value
+        assert a[k]["coef"] == pytest.approx(b[k]["coef"], abs=1e-5) and a[k]["aic"] == pytest.approx(b[k]["aic"], abs=0.011)
+        first = f_one.where(F.col("s") == k).where("step = 1").first()
+        t, _ = kalman.matrices(np.array(a[k]["coef"][:1]), np.array(a[k]["coef"][1:]))
+        assert first["forecast"] == pytest.approx(frame["y"].iloc[-1] + (t @ state)[0], abs=1e-6)
+        assert first["ci_high"] - first["forecast"] == pytest.approx(1.959964 * np.sqrt(variance), rel=1e-3)
+    x, y = (f.orderBy("s", "step").toPandas() for f in (f_one, f_many))
+    assert np.allclose(x["forecast"], y["forecast"], atol=1e-3) and np.allclose(x["ci_low"], y["ci_low"], atol=1e-3)
+
+
+def test_arima_with_a_mean_and_of_a_constant(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", i, float(v)) for i, v in enumerate(1000 + 5 * rng.normal(0, 1, 400))] + [("b", i, 7.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "s string, t int, y double")
+    fits, forecasts = series.arima(df, "s", "t", "y", (1, 0, 0), 3)
+    fits = {r["s"]: r for r in fits.collect()}
+    mean = fits["a"]["coef"][0] / (1 - fits["a"]["coef"][1])
+    assert mean == pytest.approx(1000, abs=1.5) and fits["a"]["sigma2"] == pytest.approx(25, rel=0.2)
+    assert fits["b"]["aic"] is None and fits["b"]["rmse"] == pytest.approx(0.0, abs=1e-6)
+    assert [r["forecast"] for r in forecasts.where("s = 'b'").collect()] == pytest.approx([7.0] * 3, abs=1e-6)
+
+
 def test_arima_forecast_of_a_line(spark):
     df = spark.createDataFrame([("a", i, 3.0 * i + (i % 2) * 0.01) for i in range(60)], "s string, t int, y double")
     _, forecasts = series.arima(df, "s", "t", "y", (1, 2, 0), 3)
