@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from itertools import combinations
 
-import numpy as np
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from regionloom.functions.scalars import entropy
+from regionloom.models import kernel
 from regionloom.operators.columns import attach, complete_cases, normalize
 from regionloom.session import stage
 
@@ -81,34 +83,48 @@ def logistic_regression(df: DataFrame, features: list[str], target: str, max_ite
     return model, predictions, classification_metrics(predictions, "__label", "predicted_label", "probability")
 
 
-def fourier_features(df: DataFrame, features: list[str], size: int, seed: int = 42, gamma: float | None = None) -> DataFrame:
-    """Random Fourier features of the RBF kernel (Rahimi and Recht 2007) as native expressions, column ``features``."""
-    gamma = gamma or 1.0 / len(features)
-    rng = np.random.default_rng(seed)
-    directions = rng.normal(0.0, math.sqrt(2 * gamma), (size, len(features)))
-    shifts = rng.uniform(0, 2 * math.pi, size)
-    waves = []
-    for direction, shift in zip(directions, shifts):
-        angle = F.lit(float(shift))
-        for f, w in zip(features, direction):
-            angle = angle + F.col(f) * float(w)
-        waves.append(F.cos(angle) * math.sqrt(2.0 / size))
-    return df.withColumn("features", array_to_vector(F.array(*waves)))
-
-
-def svm(df: DataFrame, features: list[str], target: str, size: int = 48, max_iter: int = 1000, seed: int = 42):
-    """(model, predictions, metrics): RBF support vector classifier by random features and linear machines, one
-    against the rest, with a logistic step from margins to probabilities. Values differ from a kernel solver."""
+@dataclass
+class SupportVectorModel:
+    """Class names and one machine for each pair of classes; the class of a pair's machine with y = 1 comes first."""
+
+    classes: list[str]
+    machines: dict[tuple[int, int], kernel.Machine]
+
+    @property
+    def gap(self) -> float:
+        """Greatest violation of the optimality conditions that is left in any machine."""
+        return max((m.gap for m in self.machines.values()), default=0.0)
+
+
+def svm(df: DataFrame, features: list[str], target: str, c: float = 1.0, gamma: float | None = None, most_passes: int = kernel.MOST_PASSES):
+    """(model, predictions, metrics): RBF support vector classifier on standardized features, one machine for each pair of
+    classes, solved in the dual (``kernel.machine``), with a logistic step from decision values to probabilities.
+
+    ``gamma`` is one over the number of features unless given. Pairs vote; of equal votes the first class wins.
+    """
     indexer, rows = _prepared(df, features, target)
-    waves = fourier_features(normalize(rows, features), features, size, seed).select(*rows.columns, "features")
-    machine = LinearSVC(labelCol="__index", maxIter=max_iter, tol=1e-4, regParam=1e-4, standardization=False, rawPredictionCol="margins")
-    if len(indexer.labels) > 2:
-        machine = OneVsRest(classifier=machine, labelCol="__index", rawPredictionCol="margins")
-    model = machine.fit(waves)
-    scored = model.transform(waves)
+    classes = list(indexer.labels)
+    scaled = normalize(rows, features).withColumn("__id", F.monotonically_increasing_id())
+    scaled = stage(scaled)
+    x = F.array(*[F.col(f) for f in features])
+    machines, values = {}, scaled
+    for i, j in combinations(range(len(classes)), 2):
+        y = F.when(F.col("__index") == i, 1.0).when(F.col("__index") == j, -1.0).otherwise(0.0)
+        found = kernel.machine(scaled.select(F.col("__id").alias("id"), x.alias("x"), y.alias("y")), gamma or 1.0 / len(features), c, most_passes=most_passes)
+        machines[i, j] = found
+        values = values.join(found.rows.select(F.col("id").alias("__id"), found.decision.alias(f"__d_{i}_{j}")), "__id")
+    if not machines:  # a single class
+        predictions = _labelled(rows.withColumn("prediction", F.lit(0.0)).withColumn("probability", array_to_vector(F.array(F.lit(1.0)))), indexer)
+        return SupportVectorModel(classes, {}), predictions, classification_metrics(predictions, "__label", "predicted_label", "probability")
+    pairs = list(machines)
+    votes = [sum((F.when((F.col(f"__d_{i}_{j}") > 0) == (k == i), 1).otherwise(0) for i, j in pairs if k in (i, j)), F.lit(0)) for k in range(len(classes))]
+    values = values.withColumns(
+        {"margins": array_to_vector(F.array(*[F.col(f"__d_{i}_{j}") for i, j in pairs])), "__votes": F.array(*votes)}
+    )
+    values = stage(values.withColumn("prediction", (F.array_position("__votes", F.array_max("__votes")) - 1).cast("double")))
     platt = LogisticRegression(featuresCol="margins", labelCol="__index", maxIter=1000, predictionCol="__p", rawPredictionCol="__r")
-    predictions = _labelled(platt.fit(scored).transform(scored), indexer)
-    return model, predictions, classification_metrics(predictions, "__label", "predicted_label", "probability")
+    predictions = _labelled(platt.fit(values).transform(values), indexer).drop("__votes", "__id", *[f"__d_{i}_{j}" for i, j in pairs])
+    return SupportVectorModel(classes, machines), predictions, classification_metrics(predictions, "__label", "predicted_label", "probability")
 
 
 def decision_tree(df: DataFrame, features: list[str], target: str, max_depth: int = 6, seed: int = 42):

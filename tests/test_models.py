@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from regionloom.models import classification, clustering, cross, decomposition, kalman, regression, series
+from regionloom.models import classification, clustering, cross, decomposition, kalman, kernel, regression, series
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +21,55 @@ def test_classifiers_separate_blobs(blobs, fit):
     assert predictions.where("predicted_label = y").count() > 174
 
 
+def dual(x, y, gamma, c):
+    """The dual by projected gradient with the balance as a multiplier that is bisected: slow, and another way altogether."""
+    q = kernel.kernel(x, x, gamma) * np.outer(y, y)
+    alpha, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(20_000):
+        z = alpha - step * (q @ alpha - 1)
+        low, high = -100.0, 100.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (np.clip(z - middle * y, 0, c) * y).sum() > 0 else (low, middle)
+        new = np.clip(z - low * y, 0, c)
+        if np.abs(new - alpha).max() < 1e-10:
+            break
+        alpha = new
+    return alpha
+
+
+@pytest.mark.parametrize("noise", [0.3, 1.2])
+def test_machine_is_the_solution_of_the_dual(spark, noise):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (150, 2))
+    y = np.where((x**2).sum(axis=1) + noise * rng.normal(0, 1, 150) > 1.3, 1.0, -1.0)
+    alpha = dual(x, y, 0.5, 1.0)
+    sums = kernel.kernel(x, x, 0.5) @ (alpha * y)
+    df = spark.createDataFrame([(i, [float(v) for v in p], float(c)) for i, (p, c) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y double")
+    other = df.limit(3).selectExpr("id + 1000 AS id", "x", "0D AS y")  # rows of other classes only get decision values
+    for working in (1024, 40):
+        found = kernel.machine(df.unionByName(other), 0.5, 1.0, working=working, most_passes=200)
+        rows = {r["id"]: r for r in found.rows.collect()}
+        assert found.gap <= 1e-3 and len(rows) == 153
+        assert [rows[i]["sum"] for i in range(150)] == pytest.approx(sums, abs=0.02)
+        a = np.array([rows[i]["alpha"] for i in range(150)])
+        assert (a >= 0).all() and (a <= 1).all() and abs((a * y).sum()) < 1e-9
+        value = lambda v: v.sum() - 0.5 * (v * y) @ kernel.kernel(x, x, 0.5) @ (v * y)
+        assert value(a) == pytest.approx(value(alpha), rel=1e-3)
+        assert rows[1000]["alpha"] == 0
+
+
+def test_support_vectors_of_rings_and_of_one_class(spark):
+    """What no line can part."""
+    rng = np.random.default_rng(5)
+    angle, radius = rng.uniform(0, 2 * np.pi, 400), np.repeat([1.0, 3.0], 200) + rng.normal(0, 0.2, 400)
+    df = spark.createDataFrame(pd.DataFrame({"a": radius * np.cos(angle), "b": radius * np.sin(angle), "y": np.repeat(["in", "out"], 200)}))
+    model, predictions, metrics = classification.svm(df, ["a", "b"], "y")
+    assert metrics.first()["accuracy"] > 0.99 and model.gap <= 1e-3 and predictions.count() == 400
+    _, predictions, metrics = classification.svm(df.where("y = 'in'"), ["a", "b"], "y")
+    assert metrics.first()["accuracy"] == 1.0 and predictions.count() == 200
+
+
 def test_metrics_with_absent_classes(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "a"), ("c", "c"), ("d", "b")], "y string, p string")
     row = classification.classification_metrics(df, "y", "p").first()
