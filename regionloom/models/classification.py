@@ -6,13 +6,13 @@ import math
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from regionloom.functions.scalars import entropy
-from regionloom.models import kernel
+from regionloom.models import kernel, tree
 from regionloom.operators.columns import attach, complete_cases, normalize
 from regionloom.session import stage
 
@@ -127,19 +127,16 @@ def svm(df: DataFrame, features: list[str], target: str, c: float = 1.0, gamma:
     return SupportVectorModel(classes, machines), predictions, classification_metrics(predictions, "__label", "predicted_label", "probability")
 
 
-def decision_tree(df: DataFrame, features: list[str], target: str, max_depth: int = 6, seed: int = 42):
-    """(model, predictions, metrics): Gini tree of depth 6. Split points are binned by Spark, so trees may differ
-    from an exhaustive search."""
+def decision_tree(df: DataFrame, features: list[str], target: str, max_depth: int = 6):
+    """(model, predictions, metrics): Gini tree of depth 6 that tries every split point (``tree.grow``)."""
     indexer, rows = _prepared(df, features, target)
-    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
-    model = DecisionTreeClassifier(labelCol="__index", maxDepth=max_depth, seed=seed, maxBins=64).fit(assembled)
-    predictions = _labelled(model.transform(assembled), indexer)
+    model = tree.grow(rows, features, "__index", len(indexer.labels), max_depth)
+    predictions = _labelled(model.predicted(rows), indexer)
     return model, predictions, classification_metrics(predictions, "__label", "predicted_label", "probability")
 
 
-def feature_importances(model, features: list[str], spark) -> DataFrame:
-    values = model.featureImportances.toArray()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
+def feature_importances(model: tree.Tree, features: list[str], spark) -> DataFrame:
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.importances, strict=True)], "feature string, importance double")
 
 
 def naive_bayes(df: DataFrame, features: list[str], target: str):

@@ -94,6 +94,25 @@ def decision_tree_importances(spark, sf_dir):
     return classification.feature_importances(model, _FEATURES, spark)
 
 
+@query(
+    "decision_tree_root",
+    """WITH v AS (SELECT 0 AS f, l_quantity AS v, l_returnflag AS y FROM lineitem UNION ALL SELECT 1, l_extendedprice, l_returnflag FROM lineitem UNION ALL SELECT 2, l_discount, l_returnflag FROM lineitem UNION ALL SELECT 3, l_tax, l_returnflag FROM lineitem),
+    c AS (SELECT f, v, count(*) FILTER (y = 'A') AS a, count(*) FILTER (y = 'N') AS n, count(*) FILTER (y = 'R') AS r FROM v GROUP BY f, v),
+    s AS (SELECT f, v, lead(v) OVER w AS next, sum(a) OVER w AS a, sum(n) OVER w AS n, sum(r) OVER w AS r, sum(a) OVER p AS ta, sum(n) OVER p AS tn, sum(r) OVER p AS tr FROM c WINDOW w AS (PARTITION BY f ORDER BY v), p AS (PARTITION BY f)),
+    g AS (SELECT *, (a::DOUBLE * a + n::DOUBLE * n + r::DOUBLE * r) / (a + n + r) + ((ta - a)::DOUBLE * (ta - a) + (tn - n)::DOUBLE * (tn - n) + (tr - r)::DOUBLE * (tr - r)) / (ta - a + tn - n + tr - r) AS purity FROM s WHERE next IS NOT NULL),
+    b AS (SELECT * FROM g ORDER BY purity DESC, f, v LIMIT 1)
+    SELECT ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'][f + 1] AS feature, round(v / 2 + next / 2, 6) AS threshold, (a + n + r)::BIGINT AS n_left, (ta - a + tn - n + tr - r)::BIGINT AS n_right FROM b""",
+)
+def decision_tree_root(spark, sf_dir):
+    """The best of all split points of all rows."""
+    model, _, _ = classification.decision_tree(lineitem(spark, sf_dir), _FEATURES, "l_returnflag", max_depth=1)
+    root, sides = model.nodes[1], [sum(model.nodes[i].counts) for i in (2, 3)]
+    # one row: the split was found by passes over the table
+    return lineitem(spark, sf_dir).limit(1).select(
+        F.lit(_FEATURES[root.feature]).alias("feature"), F.lit(round(root.threshold, 6)).alias("threshold"), *[F.lit(n).cast("long").alias(f"n_{s}") for n, s in zip(sides, ("left", "right"))]
+    )
+
+
 @query(
     "pca_explained",
     """WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem) SELECT unnest([1, 2])::INTEGER AS component, round(unnest([(1 + r) / 2, (1 - r) / 2]), 4) AS explained_ratio, 1.0::DOUBLE AS total_explained, 0.0::DOUBLE AS reconstruction_mse FROM r""",

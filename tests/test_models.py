@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from regionloom.models import classification, clustering, cross, decomposition, kalman, kernel, regression, series
+from regionloom.models import classification, clustering, cross, decomposition, kalman, kernel, regression, series, tree
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +70,50 @@ def test_support_vectors_of_rings_and_of_one_class(spark):
     assert metrics.first()["accuracy"] == 1.0 and predictions.count() == 200
 
 
+def plain_tree(x, y, classes, depth, number=1):
+    """{node: (feature, threshold, counts)} by trying every boundary."""
+    counts = np.bincount(y, minlength=classes)
+    found = {number: (None, None, counts.tolist())}
+    if depth == 0 or (counts > 0).sum() < 2:
+        return found
+    best = None
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        for a, b in zip(values[:-1], values[1:], strict=True):
+            left = x[:, f] <= a
+            score = sum((np.bincount(s, minlength=classes).astype(float) ** 2).sum() / len(s) for s in (y[left], y[~left]))
+            if best is None or score > best[0] + 1e-9:
+                best = (score, f, a / 2 + b / 2)
+    if best is None:
+        return found
+    _, f, threshold = best
+    left = x[:, f] <= threshold
+    found[number] = (f, threshold, counts.tolist())
+    return found | plain_tree(x[left], y[left], classes, depth - 1, 2 * number) | plain_tree(x[~left], y[~left], classes, depth - 1, 2 * number + 1)
+
+
+def test_tree_is_that_of_brute_force(spark):
+    rng = np.random.default_rng(21)
+    x = np.column_stack([rng.normal(0, 1, 300), rng.integers(0, 7, 300), rng.exponential(1, 300), np.ones(300)])
+    y = ((x[:, 0] > 0.3).astype(int) + (x[:, 1] * x[:, 2] > 3)).astype(int)
+    y[rng.random(300) < 0.1] = 2
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")).assign(y=y)).repartition(5)
+    want = plain_tree(x, y, 3, 5)
+    got = tree.grow(df, list("abcd"), "y", 3, 5)
+    assert {i: (n.feature, n.threshold, n.counts) for i, n in got.nodes.items()} == want
+    _, predictions, _ = classification.decision_tree(df, list("abcd"), "y", 5)
+    hits = sum(max(c) for f, _, c in want.values() if f is None)
+    assert predictions.where("predicted_label = y").count() == hits
+    assert got.importances.sum() == pytest.approx(1.0) and got.importances[3] == 0
+
+
+def test_tree_without_a_split(spark):
+    df = spark.createDataFrame([(1.0, "a"), (1.0, "b"), (None, "b"), (1.0, "b")], "x double, y string")
+    model, predictions, _ = classification.decision_tree(df, ["x"], "y")
+    assert len(model.nodes) == 1 and {r["predicted_label"] for r in predictions.collect()} == {"b"} and predictions.count() == 3
+    assert list(model.importances) == [0.0]
+
+
 def test_metrics_with_absent_classes(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "a"), ("c", "c"), ("d", "b")], "y string, p string")
     row = classification.classification_metrics(df, "y", "p").first()
