@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from regionloom.functions import geo
 from regionloom.functions.scalars import iso_date, to_numeric
+from regionloom.operators.overlaps import meeting_pairs
 from regionloom.operators.joins import centroid_fallback
 from regionloom.schema import RING, RING_TYPE
 
@@ -142,26 +143,23 @@ def _with_box(hulls: DataFrame, by: str, side: str) -> DataFrame:
 def footprint_overlap(hulls: DataFrame, by: str = "source_key") -> DataFrame:
     """(source_a, source_b, geometry, area_km2) of each two sources whose hulls meet.
 
-    One row per source goes in; boxes that do not meet are dropped before any clipping.
+    One row per source goes in; boxes that do not meet are dropped before any clipping, by tiles (``meeting_pairs``).
     """
     a, b = _with_box(hulls, by, "a"), _with_box(hulls, by, "b")
-    meet = (
-        (F.col("source_a") < F.col("source_b"))
-        & (F.col("w_a") <= F.col("e_b")) & (F.col("w_b") <= F.col("e_a"))
-        & (F.col("s_a") <= F.col("n_b")) & (F.col("s_b") <= F.col("n_a"))
-    )
-    clipped = a.join(b, meet).select("source_a", "source_b", _clip("ring_a", "ring_b").alias("geometry"))
+    pairs = meeting_pairs(a, "source_a", [(F.col("w_a"), F.col("e_a")), (F.col("s_a"), F.col("n_a"))])
+    met = pairs.join(a, F.col("a") == F.col("source_a")).join(b, F.col("b") == F.col("source_b"))
+    clipped = met.select("source_a", "source_b", _clip("ring_a", "ring_b").alias("geometry"))
     return clipped.where(F.size("geometry") > 0).withColumn("area_km2", F.round(geo.ring_area_km2("geometry"), 2))
 
 
 def time_overlap(ranges: DataFrame, by: str = "source_key") -> DataFrame:
     """(source_a, source_b, time_start, time_end, overlap_days) of each two sources whose time ranges meet."""
-    a = ranges.select(F.col(by).alias("source_a"), F.col("time_start").alias("s_a"), F.col("time_end").alias("e_a"))
-    b = ranges.select(F.col(by).alias("source_b"), F.col("time_start").alias("s_b"), F.col("time_end").alias("e_b"))
-    meet = (F.col("source_a") < F.col("source_b")) & (F.col("s_a") <= F.col("e_b")) & (F.col("s_b") <= F.col("e_a"))
-    pairs = a.join(b, meet).select(
-        "source_a", "source_b", F.greatest("s_a", "s_b").alias("time_start"), F.least("e_a", "e_b").alias("time_end")
-    )
+    times = ranges.select(F.col(by).alias("k"), "time_start", "time_end")
+    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("time_start", "time_end")]
+    pairs = meeting_pairs(times, "k", [tuple(micros)])
+    a, b = (times.select(F.col("k").alias(f"source_{s}"), F.col("time_start").alias(f"s_{s}"), F.col("time_end").alias(f"e_{s}")) for s in "ab")
+    met = pairs.join(a, F.col("a") == F.col("source_a")).join(b, F.col("b") == F.col("source_b"))
+    pairs = met.select("source_a", "source_b", F.greatest("s_a", "s_b").alias("time_start"), F.least("e_a", "e_b").alias("time_end"))
     days = F.floor((F.unix_micros(F.col("time_end").cast("timestamp")) - F.unix_micros(F.col("time_start").cast("timestamp"))) / 86_400_000_000).cast("bigint")
     return pairs.withColumn("overlap_days", days)
 

@@ -251,6 +251,21 @@ def layer_relationships(spark, sf_dir):
     return footprints.layer_relationships(footprints.spacetime_overlap(rings, ranges))
 
 
+@query(
+    "time_overlap_of_customers",
+    """WITH r AS (SELECT o_custkey AS k, min(o_orderdate)::TIMESTAMP AS t0, min(o_orderdate)::TIMESTAMP + INTERVAL (count(*)) DAY AS t1 FROM orders GROUP BY o_custkey),
+    p AS (SELECT a.k AS source_a, floor((epoch_us(least(a.t1, b.t1)) - epoch_us(greatest(a.t0, b.t0))) / 86400000000) AS days FROM r a JOIN r b ON a.k < b.k AND a.t0 <= b.t1 AND b.t0 <= a.t1)
+    SELECT source_a, count(*) AS n_later, sum(days)::BIGINT AS overlap_days FROM p GROUP BY source_a""",
+)
+def time_overlap_of_customers(spark, sf_dir):
+    """How often the windows that customers open with their first order (a day for each of their orders) meet."""
+    start = F.min("o_orderdate").cast("timestamp")
+    ranges = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(start.alias("time_start"), F.count(F.lit(1)).alias("n"))
+    ranges = ranges.withColumn("time_end", F.timestamp_micros(F.unix_micros("time_start") + F.col("n") * 86_400_000_000))
+    found = footprints.time_overlap(ranges.drop("n"), by="k")
+    return found.groupBy("source_a").agg(F.count(F.lit(1)).alias("n_later"), F.sum("overlap_days").alias("overlap_days"))
+
+
 # ---------------------------------------------------------------- polygons
 
 _DIAMOND = "d AS (SELECT n_nationkey, 42.0200317 + n_nationkey * 0.0391 AS cy, -121.9300171 + ((n_nationkey * 7) % 25) * 0.0347 AS cx, 0.0312345 + (n_nationkey % 4) * 0.0507 AS r FROM nation)"

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from regionloom.operators import aggregates, correlation, footprints, sampling, surfaces
+from regionloom.operators import aggregates, correlation, footprints, overlaps, sampling, surfaces
 
 
 def test_t_quantiles():
@@ -216,3 +216,24 @@ def test_little_bootstraps_of_small_and_empty_tables(spark):
     assert sampling.little_bootstraps(df.limit(0), "v", "id").collect() == []
     empty = sampling.confidence_interval(df.limit(0), "v", method="little_bootstraps", row_id="id").first()
     assert empty["sample_size"] == 0 and empty["warning"]
+
+
+def test_meeting_pairs_are_those_of_all_comparisons(spark):
+    """Boxes of all sizes, copies, points, touching borders, odd ends; no nested loop in the plan."""
+    random = np.random.default_rng(14)
+    low = np.round(random.uniform(-50, 50, (160, 2)), 1)
+    side = np.round(np.exp(random.uniform(-6, 4, (160, 2))), 1)
+    low[:20], side[:20] = low[20], side[20]
+    side[30:40] = 0
+    rows = [(i, float(a), float(a + c), float(b), float(b + d)) for i, ((a, b), (c, d)) in enumerate(zip(low, side, strict=True))]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4]}
+    odd = [(900, None, 1.0, 0.0, 1.0), (901, 0.0, float("nan"), 0.0, 1.0), (902, 5.0, -5.0, 0.0, 1.0), (None, -50.0, 50.0, -50.0, 50.0)]
+    df = spark.createDataFrame(rows + odd, "id long, w double, e double, s double, n double")
+    pairs = overlaps.meeting_pairs(df, "id", [(F.col("w"), F.col("e")), (F.col("s"), F.col("n"))])
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    line = [(r["a"], r["b"]) for r in overlaps.meeting_pairs(df, "id", [(F.col("w"), F.col("e"))]).collect()]
+    assert sorted(line) == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2])
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert overlaps.meeting_pairs(df.limit(0), "id", [(F.col("w"), F.col("e"))]).collect() == []
