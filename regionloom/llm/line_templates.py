@@ -43,12 +43,10 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("id"), whole.alias("text")).withColumn("digest", F.xxhash64("text"))
 
 
-def _parsed(leading_counts: bool) -> dict[str, Column]:
+def _parsed() -> dict[str, Column]:
     """Number of words, leaf of the tree (NULL for exact templates) and hash of the columns ``masked`` and ``content``."""
     words = F.split(F.col("masked"), " ")
-    exact = F.size(words) < DEPTH
-    if not leading_counts:
-        exact = exact | (F.trim(F.replace(F.col("masked"), F.lit(FIELD), F.lit(""))) == "")
+    exact = (F.size(words) < DEPTH) | (F.trim(F.replace(F.col("masked"), F.lit(FIELD), F.lit(""))) == "")
     return {
         "n": F.when(F.col("masked") == "", 0).otherwise(F.size(words)),
         "leaf": F.when(~exact, F.md5(F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH)))),
@@ -62,18 +60,15 @@ def line_templates(
     doc_id: str = "doc_id",
     text: str = "text",
     similarity: float = SIMILARITY,
-    short_lines: bool = True,
-    leading_counts: bool = False,
 ) -> DataFrame:
     """Lines with their templates: ``id``, ``digest`` (of the text), ``line`` (number), ``template``. Lines without words have
-    none; without ``short_lines`` those of fewer than ``DEPTH`` words have none either. With ``leading_counts`` the leading
-    words and fields count as constant positions too."""
+    none."""
     rows = _keys(docs, doc_id, text)
     lines = rows.select("id", "digest", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    lines = lines.withColumn("masked", masked(F.col("content"))).withColumns(_parsed(leading_counts))
+    lines = lines.withColumn("masked", masked(F.col("content"))).withColumns(_parsed())
     # filtered when they are read again: a filter before would work out the words twice
     lines = stage(lines.select("id", "digest", "line", "n", F.unhex("leaf").alias("leaf"), F.unhex("own").alias("own")))
-    lines = lines.where(F.col("n") >= (1 if short_lines else DEPTH)).drop("n")
+    lines = lines.where("n > 0").drop("n")
     several = lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("leaf")
     # one place of each distinct line of such leaves, to read its words there
     places = lines.join(several, "leaf").groupBy("own").agg(F.min(F.struct("id", "digest", "line")).alias("p"))
@@ -82,7 +77,7 @@ def line_templates(
     # rows that are equal in id and text have the same lines
     content = found.select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
     read = content.select(F.element_at("all", F.col("line") + 1).alias("content"))
-    read = read.withColumn("masked", masked(F.col("content"))).withColumns(_parsed(leading_counts))
+    read = read.withColumn("masked", masked(F.col("content"))).withColumns(_parsed())
     read = read.select(F.unhex("leaf").alias("leaf"), F.unhex("own").alias("own"), F.split("masked", " ").alias("words")).dropDuplicates(["own"])
     read = stage(read)
     sizes = read.groupBy("leaf").agg(F.count("*").alias("size"))
@@ -91,11 +86,8 @@ def line_templates(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("place", "word")))).alias("constant")
     )
     fits = F.forall(F.map_entries("constant"), lambda e: F.element_at("words", e["key"] + 1) == e["value"])
-    if leading_counts:
-        enough = F.size("constant") >= similarity * F.size("words")
-    else:
-        behind = F.filter(F.map_entries("constant"), lambda e: e["key"] >= DEPTH)
-        enough = (F.size(behind) >= similarity * (F.size("words") - DEPTH)) & F.exists(behind, lambda e: e["value"] != FIELD)
+    behind = F.filter(F.map_entries("constant"), lambda e: e["key"] >= DEPTH)
+    enough = (F.size(behind) >= similarity * (F.size("words") - DEPTH)) & F.exists(behind, lambda e: e["value"] != FIELD)
     shared = F.unhex(F.md5(F.concat(F.lit("leaf "), F.hex("leaf"))))
     assigned = read.join(constant, "leaf").where(fits & enough).select("own", shared.alias("shared"))
     return lines.join(assigned, "own", "left").select("id", "digest", "line", F.coalesce("shared", "own").alias("template"))
@@ -107,11 +99,9 @@ def dropped_lines(
     text: str = "text",
     min_docs: int = MIN_DOCS,
     similarity: float = SIMILARITY,
-    short_lines: bool = True,
-    leading_counts: bool = False,
 ) -> DataFrame:
     """``__id``, ``__digest`` and ``__dropped`` (line numbers from 0 on) of the texts that lose lines."""
-    lines = stage(line_templates(docs, doc_id, text, similarity, short_lines, leading_counts))
+    lines = stage(line_templates(docs, doc_id, text, similarity))
     in_docs = lines.select("template", "id").distinct()
     counts = in_docs.groupBy("template").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     recurring = counts.where(F.col("n") >= min_docs).select("template", "first")
@@ -125,16 +115,14 @@ def without_recurring_lines(
     text: str = "text",
     min_docs: int = MIN_DOCS,
     similarity: float = SIMILARITY,
-    short_lines: bool = True,
-    leading_counts: bool = False,
 ) -> DataFrame:
     """``docs`` without the lines of recurring templates, and ``__n_lines``, ``__n_dropped``.
 
-    Lines without words always stay, without ``short_lines`` those of fewer than three words too. Texts that lose nothing are as they were (NULL stays NULL); one that loses
-    all is empty. Rows with equal ids are one document to the counts. Documents with a NULL id are one document too, after
+    Lines without words always stay. Texts that lose nothing are as they were (NULL stays NULL); one that loses all is
+    empty. Rows with equal ids are one document to the counts. Documents with a NULL id are one document too, after
     all others. An empty table gives no rows; columns other than the id and the text pass through.
     """
-    gone = dropped_lines(docs, doc_id, text, min_docs, similarity, short_lines, leading_counts)
+    gone = dropped_lines(docs, doc_id, text, min_docs, similarity)
     digest = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     keyed = docs.withColumn("__key", digest)
     joined = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest")), "left")

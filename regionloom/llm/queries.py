@@ -96,22 +96,23 @@ _OP2 = rf"""
 WITH lines AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS content,
     unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
-words AS (
-  SELECT doc_id, line, string_split(regexp_replace(trim(regexp_replace(content, '{_W}+', ' ', 'g')),
-    '[^ \t-\r]*[0-9][^ \t-\r]*', '<*>', 'g'), ' ') AS w FROM lines),
-parsed AS (SELECT doc_id, line, w, array_to_string(w, ' ') AS own, concat_ws(' ', len(w), w[1], w[2], w[3]) AS leaf
-  FROM words WHERE len(w) >= 3),
-known AS (SELECT DISTINCT leaf, own, w FROM parsed),
+spaced AS (SELECT doc_id, line, trim(regexp_replace(content, '{_W}+', ' ', 'g')) AS s FROM lines),
+masked AS (SELECT doc_id, line, s, regexp_replace(s, '[^ \t-\r]*[0-9][^ \t-\r]*', '<*>', 'g') AS m FROM spaced WHERE s <> ''),
+words AS (SELECT doc_id, line, s, m, string_split(m, ' ') AS w FROM masked),
+parsed AS (SELECT doc_id, line, w,
+    CASE WHEN len(w) >= 3 AND trim(replace(m, '<*>', '')) <> '' THEN concat_ws(' ', len(w), w[1], w[2], w[3]) END AS leaf,
+    CASE WHEN len(w) >= 3 AND trim(replace(m, '<*>', '')) <> '' THEN m ELSE chr(10) || s END AS own FROM words),
+known AS (SELECT DISTINCT leaf, own, w FROM parsed WHERE leaf IS NOT NULL),
 sizes AS (SELECT leaf, count(*) AS size FROM known GROUP BY leaf HAVING count(*) > 1),
 places AS (SELECT leaf, own, unnest(range(len(w))) AS place, unnest(w) AS word FROM known SEMI JOIN sizes USING (leaf)),
 constant AS (SELECT leaf, place, word FROM places JOIN sizes USING (leaf) GROUP BY leaf, place, word, size HAVING 2 * count(*) > size),
-wide AS (SELECT leaf, count(*) AS n FROM constant GROUP BY leaf),
+wide AS (SELECT leaf, count(*) AS n, count(*) FILTER (place >= 3) AS behind, count(*) FILTER (place >= 3 AND word <> '<*>') AS texts FROM constant GROUP BY leaf),
 fitting AS (SELECT p.leaf, p.own FROM places p JOIN constant c ON p.leaf = c.leaf AND p.place = c.place AND p.word = c.word
   JOIN wide ON wide.leaf = p.leaf JOIN known k ON k.leaf = p.leaf AND k.own = p.own
-  GROUP BY p.leaf, p.own, wide.n, len(k.w) HAVING count(*) = wide.n AND wide.n >= 0.7 * len(k.w)),
+  GROUP BY p.leaf, p.own, wide.n, wide.behind, wide.texts, len(k.w) HAVING count(*) = wide.n AND wide.behind >= 0.7 * (len(k.w) - 3) AND wide.texts > 0),
 templates AS (SELECT doc_id, line, CASE WHEN f.own IS NULL THEN 'o' || p.own ELSE 'l' || p.leaf END AS template
   FROM parsed p LEFT JOIN fitting f ON f.own = p.own AND f.leaf = p.leaf),
-recurring AS (SELECT template, min(doc_id) AS first FROM templates GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
+recurring AS (SELECT template, min(doc_id) AS first FROM templates GROUP BY template HAVING count(DISTINCT doc_id) >= 2),
 gone AS (SELECT doc_id, line FROM templates JOIN recurring USING (template) WHERE doc_id <> first),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_dropped,
   coalesce(string_agg(content, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS kept
@@ -124,8 +125,7 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM kept
 def op2_line_templates(spark, sf_dir):
     from regionloom.llm.line_templates import without_recurring_lines
 
-    # the rule that the SQL twin states, not that of the operator and the pipeline
-    kept = without_recurring_lines(table(spark, sf_dir, "documents"), min_docs=3, short_lines=False, leading_counts=True)
+    kept = without_recurring_lines(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
 
