@@ -131,22 +131,39 @@ def op2_line_templates(spark, sf_dir):
 
 
 def _op9() -> str:
-    from regionloom.llm.licenses import CONTAINED, TEMPLATES, size_class
+    from regionloom.llm.license_texts import NESTED, TEMPLATES
+    from regionloom.llm.licenses import CONTAINED, SPDX, SPDX_PATTERN, marked_runs, size_class
 
-    values = ", ".join(f"('{k}', '{t}', {size_class(t)})" for k, t in TEMPLATES.items())
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    def row(i, t):
+        marks = "[" + ", ".join("[" + ", ".join(map(text, runs)) + "]" for runs in marked_runs(t)) + "]"
+        return f"({i}, {text(t.license)}, {text(t.text)}, {size_class(t.text)}, {marks}::VARCHAR[][])"
+
+    values = ", ".join(row(i, t) for i, t in enumerate(TEMPLATES))
+    rank = "CASE license " + " ".join(f"WHEN {text(name)} THEN {i}" for i, name in enumerate(NESTED)) + " END"
     runs = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))"
+    pattern = SPDX_PATTERN
     return rf"""
-WITH known AS (SELECT license, size_class, list_distinct({runs}) AS template FROM (
-  SELECT license, size_class, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {values}) AS v(license, t, size_class))),
+WITH known AS (SELECT number, license, size_class, required, list_distinct({runs}) AS template FROM (
+  SELECT *, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {values}) AS v(number, license, t, size_class, required))),
 held AS (SELECT doc_id, {runs} AS s FROM (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents) WHERE len(w) >= 5),
-near AS (SELECT doc_id, s, license, size_class, template FROM held, known WHERE list_has_any(s, template)),
-windows AS (SELECT doc_id, license, template, a, s[a + 1:a + 2 * size_class] AS win FROM (
+near AS (SELECT doc_id, s, number, license, size_class, template, required FROM held, known WHERE list_has_any(s, template)),
+windows AS (SELECT doc_id, license, template, required, a, s[a + 1:a + 2 * size_class] AS win FROM (
   SELECT *, unnest(range(0, len(s), size_class)) AS a FROM near)),
-found AS (SELECT doc_id, license, len(list_intersect(win, template)) / CAST(len(template) AS DOUBLE) AS share,
-  a + list_position(list_transform(win, lambda x: list_contains(template, x)), true) - 1 AS first FROM windows)
-SELECT doc_id, license, max(share) AS containment, min(first) AS first_word, count(*) AS n_windows
-FROM found WHERE share >= {CONTAINED} GROUP BY doc_id, license
+matched AS (SELECT doc_id, license, len(list_intersect(win, template)) / CAST(len(template) AS DOUBLE) AS share,
+  a + list_position(list_transform(win, lambda x: list_contains(template, x)), true) - 1 AS first FROM windows
+  WHERE len(list_filter(required, lambda r: NOT list_has_any(win, r))) = 0),
+tags AS (SELECT doc_id, len(regexp_extract_all(lower(string_split(text, '{SPDX}')[1]), '[\p{{L}}\p{{N}}]+')) AS first,
+  unnest(regexp_extract_all(text, '{pattern}', 1)) AS tag FROM documents WHERE contains(text, '{SPDX}')),
+named AS (SELECT doc_id, first, unnest(regexp_extract_all(tag, '[A-Za-z0-9.+-]+')) AS license FROM tags),
+found AS (SELECT doc_id, license, share, first FROM matched WHERE share >= {CONTAINED}
+  UNION ALL SELECT doc_id, license, 1.0::DOUBLE, first FROM named WHERE license NOT IN ('OR', 'AND', 'WITH')),
+grouped AS (SELECT doc_id, license, max(share) AS containment, min(first) AS first_word, count(*) AS n_windows, {rank} AS rank FROM found GROUP BY doc_id, license)
+SELECT doc_id, license, containment, first_word, n_windows FROM (SELECT *, max(rank) OVER (PARTITION BY doc_id) AS best FROM grouped)
+WHERE rank IS NULL OR rank = best
 """
 
 

@@ -425,18 +425,59 @@ def test_ranges_of_ids_follow_each_other(spark, monkeypatch):
 # ---------------------------------------------------------------- licenses
 
 
-def test_notices_are_found_where_they_stand(spark):
-    from regionloom.llm.licenses import TEMPLATES, license_scan
+def licenses_of(spark, docs):
+    from regionloom.llm.licenses import license_scan
+
+    rows = license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    return {(r.doc_id, r.license): r for r in rows}
+
+
+def test_every_template_is_found_inside_a_text(spark):
+    from regionloom.llm.license_texts import TEMPLATES
 
     filler = " ".join(f"filler{i}" for i in range(500))
-    docs = [(k, f"{filler[: 40 * k]} {t} {filler}") for k, t in enumerate(TEMPLATES.values())]
-    docs += [(50, TEMPLATES["MIT-grant"].replace("obtaining", "getting")), (51, filler), (52, None), (53, "Released under the"), (54, "licensed under CC BY-NC 4.0")]
-    found = {(r.doc_id, r.license): r for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    names = list(TEMPLATES)
-    assert set(found) == {(k, n) for k, n in enumerate(names)} | {(54, "CC-BY-NC-4.0")}
+    found = licenses_of(spark, [(k, f"{filler[: 40 * k]} {t.text.upper() if k % 2 else t.text} {filler}") for k, t in enumerate(TEMPLATES)])
+    assert {(k, t.license) for k, t in enumerate(TEMPLATES)} == set(found)
     assert all(r.containment == 1.0 for r in found.values())
 
 
+def test_edited_texts_and_near_relatives(spark):
+    """Versions and kinds are told apart although most of their words are the same."""
+    from regionloom.llm.license_texts import TEMPLATES
+
+    gpl = max((t.text for t in TEMPLATES if t.license == "GPL-3.0"), key=len)
+    mit = max((t.text for t in TEMPLATES if t.license == "MIT"), key=len)
+    bsd = [max((t.text for t in TEMPLATES if t.license == name), key=len) for name in ("BSD", "BSD-2-Clause", "BSD-3-Clause")]
+    docs = [
+        (1, "This work is licensed under the GNU General Public License, version 2."),
+        (2, "This work is licensed under the GNU General Public License, version 1."),
+        (3, gpl.replace("program", "package")),
+        (4, gpl.replace("GNU General", "GNU Affero General")),
+        (5, gpl.replace("version 3", "version 4")),
+        (6, mit.replace("merge, publish", "publish").replace("the Software without", "it without")),
+        (7, " ".join(bsd)),
+        (8, " ".join(bsd[:2])),
+        (9, "# SPDX-License-Identifier: MIT\ncode"),
+        (10, "/* SPDX-License-Identifier: (Apache-2.0 OR GPL-2.0-only) */ and SPDX-License-Identifier: MIT"),
+        (11, "Released under the"),
+        (12, None),
+        (13, ""),
+        (14, "Apache MIT GPL version 3 license"),
+    ]
+    found = licenses_of(spark, docs)
+    want = {(1, "GPL-2.0"), (3, "GPL-3.0"), (4, "AGPL-3.0"), (6, "MIT"), (7, "BSD-3-Clause"), (8, "BSD-2-Clause"), (9, "MIT")}
+    assert set(found) == want | {(10, "Apache-2.0"), (10, "GPL-2.0-only"), (10, "MIT")}
+    assert 0.8 <= found[3, "GPL-3.0"].containment < 1 and found[9, "MIT"].first_word == 0
+
+
+def test_a_whole_license_text_in_a_long_document(spark):
+    from regionloom.llm.license_texts import TEMPLATES
+
+    text = "\n\n".join(t.text for t in TEMPLATES if t.license == "Apache-2.0")
+    found = licenses_of(spark, [(1, "word " * 200_000 + text + " word" * 200_000)])
+    assert set(found) == {(1, "Apache-2.0")} and found[1, "Apache-2.0"].first_word == 200_000
+
+
 # ---------------------------------------------------------------- odd rows
 
 
