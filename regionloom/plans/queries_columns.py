@@ -9,7 +9,7 @@ from regionloom.functions import geo, scalars
 from regionloom.operators import columns, filters, joins, positions, tables
 from regionloom.plans.registry import query
 from regionloom.plans.views import CENTRE, EV, OBS, distance_sql, events, located, located_sql, observations, table, with_distance
-from regionloom.sources import metadata, readers, writers
+from regionloom.sources import archives, metadata, readers, writers
 
 # ---------------------------------------------------------------- flagship
 
@@ -721,27 +721,43 @@ def add_median(spark, sf_dir):
     return columns.add_column(part, "above", "k[p_retailprice] - median(k[p_retailprice])", {"k": part}).select("p_partkey", "above")
 
 
-@query("json_records_at_path", "SELECT n_nationkey, n_name FROM nation")
+@query("json_records_at_path", "SELECT c_custkey, c_name FROM customer")
 def json_records_at_path(spark, sf_dir):
-    """Documents whose records lie in an array inside, one document a region."""
-    nation = table(spark, sf_dir, "nation")
-    records = nation.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("rows"))
-    path = _landed(nation, "records")
+    """Documents whose records lie in an array inside: a document for each nation and hundred customers."""
+    customer = table(spark, sf_dir, "customer")
+    records = customer.groupBy("c_nationkey", F.floor(F.col("c_custkey") / 100)).agg(F.collect_list(F.struct("c_custkey", "c_name")).alias("rows"))
+    path = _landed(customer, "records")
     writers.write_json(records.select(F.struct("rows").alias("data")), path)
-    schema = "data struct<rows:array<struct<n_nationkey:int,n_name:string>>>"
+    schema = "data struct<rows:array<struct<c_custkey:bigint,c_name:string>>>"
     return readers.read_json_payloads(spark, path, "data.rows", schema, per_line=True)
 
 
-@query("header_array_files", "SELECT CAST(n_nationkey AS VARCHAR) AS nation_key, n_name AS nation FROM nation")
+@query("header_array_files", "SELECT CAST(o_orderkey AS VARCHAR) AS order_key, o_orderpriority AS priority FROM orders")
 def header_array_files(spark, sf_dir):
-    """``[[names],[values]]`` files, one for each nation."""
-    nation = table(spark, sf_dir, "nation")
-    values = F.array(F.col("n_nationkey").cast("string"), "n_name")
-    payload = F.to_json(F.array(F.array(F.lit("KEY"), F.lit("NAME")), values))
-    path = _landed(nation, "arrays")
-    nation.select("n_nationkey", payload.alias("value")).write.partitionBy("n_nationkey").text(path)
-    record = readers.read_header_arrays(spark, path)
-    return record.select(F.col("record")["KEY"].alias("nation_key"), F.col("record")["NAME"].alias("nation"))
+    """``[[names],[values]]`` payloads, one on each line, for every order."""
+    orders = table(spark, sf_dir, "orders")
+    values = F.array(F.col("o_orderkey").cast("string"), "o_orderpriority")
+    payload = F.to_json(F.array(F.array(F.lit("KEY"), F.lit("PRIORITY")), values))
+    path = _landed(orders, "arrays")
+    orders.select(payload.alias("value")).write.text(path)
+    record = readers.read_header_arrays(spark, path, per_line=True)
+    return record.select(F.col("record")["KEY"].alias("order_key"), F.col("record")["PRIORITY"].alias("priority"))
+
+
+@query(
+    "zipped_orders",
+    "SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total, min(strftime(o_orderdate, '%Y-%m-%d')) AS first_day FROM orders GROUP BY o_orderpriority",
+)
+def zipped_orders(spark, sf_dir):
+    """Orders written to ZIP archives of CSV members and read back, a partition for each member."""
+    orders = table(spark, sf_dir, "orders")
+    path = _landed(orders, "archives")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
+    archives.write_zipped_csv(orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", day).repartition(4), path, rows_per_member=20_000)
+    back = readers.read_zipped_csv(spark, path, "o_custkey bigint, o_orderpriority string, o_totalprice double, day string")
+    return back.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("customers"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("day").alias("first_day")
+    )
 
 
 @query(
@@ -757,15 +773,15 @@ def fetch_first_rows(spark, sf_dir):
 
 @query(
     "profile_file",
-    "SELECT 'n_nationkey' AS name, count(DISTINCT n_nationkey) AS unique_values, count(*) - count(n_nationkey) AS null_count FROM nation UNION ALL SELECT 'n_name', count(DISTINCT n_name), count(*) - count(n_name) FROM nation UNION ALL SELECT 'n_regionkey', count(DISTINCT n_regionkey), count(*) - count(n_regionkey) FROM nation",
+    "SELECT 'o_orderkey' AS name, count(DISTINCT o_orderkey) AS unique_values, count(*) - count(o_orderkey) AS null_count FROM orders UNION ALL SELECT 'o_custkey' AS name, count(DISTINCT o_custkey) AS unique_values, count(*) - count(o_custkey) AS null_count FROM orders UNION ALL SELECT 'o_orderpriority' AS name, count(DISTINCT o_orderpriority) AS unique_values, count(*) - count(o_orderpriority) AS null_count FROM orders",
 )
 def profile_file(spark, sf_dir):
     """A profile written as CSV and read back."""
     from regionloom.operators import profiling
 
-    nation = table(spark, sf_dir, "nation")
-    path = _landed(nation, "profile")
-    writers.write_profile(profiling.profile(nation), path, "csv")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    path = _landed(orders, "profile")
+    writers.write_profile(profiling.profile(orders), path, "csv")
     back = readers.read_csv(spark, path, ", ".join(f"`{t}` string" for t in writers.PROFILE_HEADER.values()))
     counts = [F.col(f"`{writers.PROFILE_HEADER[c]}`").cast("bigint").alias(c) for c in ("unique_values", "null_count")]
     return back.select(F.col("`Column Name`").alias("name"), *counts)

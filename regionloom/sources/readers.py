@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from regionloom.functions.scalars import header_row_map
+from regionloom.sources.archives import ZippedCsv
 
 BAD_RECORD = "_bad_record"
 
@@ -61,9 +59,9 @@ def read_json_payloads(spark: SparkSession, path, record_path: str | None = None
     return raw.select(F.explode(F.col(record_path)).alias("r")).select("r.*")
 
 
-def read_header_arrays(spark: SparkSession, path) -> DataFrame:
-    """Payloads of the form ``[[names...],[values...]]``: one map column ``record`` per file."""
-    text = spark.read.text(path, wholetext=True)
+def read_header_arrays(spark: SparkSession, path, per_line: bool = False) -> DataFrame:
+    """Payloads of the form ``[[names...],[values...]]``: one map column ``record`` per file, or ``per_line``."""
+    text = spark.read.text(path, wholetext=not per_line)
     return parse_header_arrays(text, "value")
 
 
@@ -72,25 +70,16 @@ def parse_header_arrays(df: DataFrame, column: str) -> DataFrame:
     return df.select(header_row_map(parsed).alias("record"))
 
 
-def read_zipped_csv(spark: SparkSession, path, schema: T.StructType | str, chunk_rows: int = 50_000) -> DataFrame:
-    """CSV members of ZIP archives. One archive is one task (a ZIP is not splittable), read in bounded batches."""
+def read_zipped_csv(spark: SparkSession, path: str, schema: T.StructType | str, members: str = "*.csv") -> DataFrame:
+    """CSV members of the ZIP archives in a folder (or of a pattern of names), a partition for each member (``archives``).
+
+    A value that is no value of its column's type is NULL.
+    """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    names = schema.names
-
-    def unzip(batches):
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        if not member.lower().endswith(".csv"):
-                            continue
-                        with archive.open(member) as handle:
-                            for part in pd.read_csv(handle, dtype=str, chunksize=chunk_rows, keep_default_na=False, na_values=[""]):
-                                yield part.reindex(columns=names).astype(object).where(lambda p: p.notna(), None)
-
-    text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, text_schema)
+    spark.dataSource.register(ZippedCsv)
+    text = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
+    rows = spark.read.format("zipped_csv").schema(text).option("path", str(path)).option("members", members).load()
     return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 

@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from regionloom.sources import metadata, readers, writers
+from regionloom.sources import archives, metadata, readers, writers
 
 
 def test_csv_keeps_bad_records(spark, tmp_path):
@@ -46,10 +46,23 @@ def test_zipped_csv(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / f"z{n}.zip", "w") as z:
             z.writestr("in/one.csv", "a,b\n1,x\n2,\n")
             z.writestr("readme.txt", "no rows")
-            z.writestr("two.csv", "b,a\ny,bad\n")
-    df = readers.read_zipped_csv(spark, str(tmp_path / "*.zip"), "a int, b string", chunk_rows=1)
+            z.writestr("two.csv", "b,c,a\ny,0,bad\n")
+            z.writestr("empty.csv", "")
+            z.writestr("header.csv", "a,b\n")
+    df = readers.read_zipped_csv(spark, str(tmp_path / "*.zip"), "a int, b string")
     rows = sorted(((r["a"], r["b"]) for r in df.collect()), key=str)
     assert rows == sorted([(1, "x"), (2, None), (None, "y")] * 2, key=str)
+    assert df.rdd.getNumPartitions() == 8  # one for each member
+    assert readers.read_zipped_csv(spark, f"file://{tmp_path}", "a int", members="in/*").count() == 4
+    assert readers.read_zipped_csv(spark, str(tmp_path / "none*.zip"), "a int").collect() == []
+
+
+def test_zipped_csv_is_written_and_read_again(spark, tmp_path):
+    rows = [(i, f'text "{i}", with\nbreaks' if i % 3 else None) for i in range(250)]
+    archives.write_zipped_csv(spark.createDataFrame(rows, "a int, b string").repartition(3), str(tmp_path / "out"), rows_per_member=20)
+    df = readers.read_zipped_csv(spark, str(tmp_path / "out"), "a int, b string")
+    assert df.rdd.getNumPartitions() >= 12 and sorted(map(tuple, df.collect())) == rows
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"part-{i:05d}.zip" for i in range(3)]
 
 
 def test_fetch_limits_each_table(spark):
