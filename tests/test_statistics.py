@@ -237,3 +237,22 @@ def test_meeting_pairs_are_those_of_all_comparisons(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert overlaps.meeting_pairs(df.limit(0), "id", [(F.col("w"), F.col("e"))]).collect() == []
+
+
+def test_risk_within_its_error_bound(spark):
+    """The cut-off leaves out no more than the bound says, and fewer rows meet as the bandwidth falls."""
+    random = np.random.default_rng(15)
+    rows = [(float(a), float(b), float(v)) for a, b, v in zip(random.uniform(40, 42, 300), random.uniform(-3, -1, 300), random.normal(0, 5, 300), strict=True)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 2.0), (41.0, -2.0, None)], "latitude double, longitude double, v double")
+    points = np.array(rows)
+    size = np.abs(points[:, 2]).sum()
+    for bandwidth, tolerance in ((0.03, 1e-13), (0.03, 1e-3), (0.5, 1e-13)):
+        got = {(r["row"], r["col"]): r for r in surfaces.risk_surface(df, bandwidth, 9, "v", tolerance=tolerance).collect()}
+        assert len(got) == 81
+        for r in got.values():
+            square = (points[:, 0] - r["grid_lat"]) ** 2 + (points[:, 1] - r["grid_lon"]) ** 2
+            assert abs(r["risk"] - (points[:, 2] * np.exp(-square / (2 * bandwidth**2))).sum()) <= (tolerance + 1e-12) * size
+    assert surfaces.cut_off(0.03, 1e-13) < 0.25
+    one = surfaces.risk_surface(df.limit(1), 0.1, 3, "v").collect()
+    assert len(one) == 9 and len({round(r["risk"], 9) for r in one}) == 1
+    assert surfaces.risk_surface(df.limit(0), 0.1, 3, "v").collect() == []
