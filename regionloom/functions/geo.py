@@ -163,9 +163,14 @@ def ring_area_km2(ring, latitude_aware: bool = False) -> Column:
     return flat * F.cos(F.radians(mean_lat))
 
 
-def ring_contains(ring, lon, lat) -> Column:
-    """Even-odd ray casting, one native expression per row."""
-    ring, lon, lat = _col(ring), _col(lon), _col(lat)
+def edges(ring) -> Column:
+    """The edges of a ring, from each corner (``p``) to the next (``q``)."""
+    return _edges(_col(ring))
+
+
+def crossings(edge_list, lon, lat) -> Column:
+    """How many of the edges a ray to the east crosses."""
+    edge_list, lon, lat = _col(edge_list), _col(lon), _col(lat)
 
     def crosses(e):
         p, q = e["p"], e["q"]
@@ -173,8 +178,12 @@ def ring_contains(ring, lon, lat) -> Column:
         at = p["lon"] + (lat - p["lat"]) / F.nullif(q["lat"] - p["lat"], F.lit(0.0)) * (q["lon"] - p["lon"])
         return F.when(spans & (lon < at), 1).otherwise(0)
 
-    hits = F.aggregate(_edges(ring), F.lit(0), lambda acc, e: acc + crosses(e))
-    return (hits % 2) == 1
+    return F.aggregate(edge_list, F.lit(0), lambda acc, e: acc + crosses(e))
+
+
+def ring_contains(ring, lon, lat) -> Column:
+    """Even-odd ray casting, one native expression per row."""
+    return (crossings(edges(ring), lon, lat) % 2) == 1
 
 
 def unit_vector(lat, lon) -> list[Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from regionloom.functions import geo
 from regionloom.functions.scalars import iso_date, to_numeric
 from regionloom.operators.overlaps import meeting_pairs
+from regionloom.session import stage
 from regionloom.operators.joins import centroid_fallback
 from regionloom.schema import RING, RING_TYPE
 
@@ -201,20 +202,51 @@ def _tile(value, level):
     return F.floor((value + 180.0) * F.pow(F.lit(2.0), level) / 360.0).cast("bigint")
 
 
+#: Rings of more edges than this are cut into bands.
+RING_EDGES = 64
+_FINEST_BAND = -30
+
+
+def _bands(polygons: DataFrame, polygon_id: str, ring: str, holes: str | None) -> DataFrame:
+    """(id, ``__v``, ``__band``, ``__edges``): the edges of polygons by bands of latitude.
+
+    An edge is filed at the level (a power of two of degrees) of its height, where it spans two bands at most, so a ring's
+    copies grow with its edges whatever its shape.
+    """
+    edges = F.flatten(F.transform(F.concat(F.array(ring), F.coalesce(holes, F.array().cast(f"array<{RING}>"))) if holes else F.array(ring), geo.edges))
+    each = polygons.select(F.col(polygon_id).alias("__pid"), F.explode(edges).alias("__e"))
+    low, high = F.least("__e.p.lat", "__e.q.lat"), F.greatest("__e.p.lat", "__e.q.lat")
+    level = F.greatest(F.ceil(F.log2(F.greatest(high - low, F.lit(2.0**_FINEST_BAND)))), F.lit(_FINEST_BAND)).cast("int")
+    width = F.pow(F.lit(2.0), level)
+    tall = each.where(low < high).withColumn("__v", level)
+    filed = tall.withColumn("__band", F.explode(F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))))
+    return filed.groupBy("__pid", "__v", "__band").agg(F.collect_list("__e").alias("__edges"))
+
+
 def spatial_join(
-    points: DataFrame, polygons: DataFrame, polygon_id: str, lat: str = "latitude", lon: str = "longitude", ring: str = "ring"
+    points: DataFrame,
+    polygons: DataFrame,
+    polygon_id: str,
+    lat: str = "latitude",
+    lon: str = "longitude",
+    ring: str = "ring",
+    holes: str | None = None,
 ) -> DataFrame:
-    """Points beside the polygons that contain them.
+    """Points beside the polygons that contain them; ``polygon_id`` is unique, ``holes`` names a column of rings to leave out.
 
     Each polygon is filed at the tile level where it spans at most two tiles each way, so it takes up to four tiles
-    whatever its size, and a point looks in one tile per level in use. The ray test runs on tile mates only.
+    whatever its size, and a point looks in one tile per level in use. The ray test runs on tile mates only. A polygon
+    of many edges is cut into bands, and a tile mate meets only the edges of its own band at each height in use.
     """
     lons, lats = F.transform(ring, lambda p: p["lon"]), F.transform(ring, lambda p: p["lat"])
+    count = F.size(ring) + (F.aggregate(F.coalesce(holes, F.array().cast(f"array<{RING}>")), F.lit(0), lambda n, h: n + F.size(h)) if holes else F.lit(0))
     boxed = polygons.select(
         F.col(polygon_id),
         F.col(ring).alias("__ring"),
+        *([F.col(holes).alias("__holes")] if holes else []),
         F.array_min(lons).alias("__w"), F.array_max(lons).alias("__e"),
         F.array_min(lats).alias("__s"), F.array_max(lats).alias("__n"),
+        (count > RING_EDGES).alias("__large"),
     )
     widest = F.greatest(F.col("__e") - F.col("__w"), F.col("__n") - F.col("__s"), F.lit(360.0 / (1 << 20)))
     level = F.least(F.lit(20), F.greatest(F.lit(0), F.floor(F.log2(F.lit(360.0) / widest)).cast("int")))
@@ -224,15 +256,31 @@ def spatial_join(
     tiles = tiles.withColumn("__ty", F.explode(F.sequence(_tile(F.col("__s"), F.col("__level")), _tile(F.col("__n"), F.col("__level")))))
     looks = F.explode(F.array(*[F.lit(v) for v in levels] or [F.lit(-1)]))
     x, y = F.col(lon), F.col(lat)
-    spread = points.withColumn("__level", looks)
-    spread = spread.withColumns({"__tx": _tile(x, F.col("__level")), "__ty": _tile(y, F.col("__level"))})
-    inside = (
-        x.between(F.col("__w"), F.col("__e")) & y.between(F.col("__s"), F.col("__n")) & geo.ring_contains("__ring", x, y)
-    )
-    on = (
-        (spread["__level"] == tiles["__level"]) & (spread["__tx"] == tiles["__tx"]) & (spread["__ty"] == tiles["__ty"]) & inside
-    )
-    return spread.join(tiles, on).select(*[spread[c] for c in points.columns], tiles[polygon_id])
+
+    def mates(left: DataFrame, right: DataFrame, test) -> DataFrame:
+        spread = left.withColumn("__level", looks)
+        spread = spread.withColumns({"__tx": _tile(x, F.col("__level")), "__ty": _tile(y, F.col("__level"))})
+        in_box = x.between(F.col("__w"), F.col("__e")) & y.between(F.col("__s"), F.col("__n"))
+        same = (spread["__level"] == right["__level"]) & (spread["__tx"] == right["__tx"]) & (spread["__ty"] == right["__ty"])
+        return spread.join(right, same & in_box & test).select(*[spread[c] for c in left.columns], right[polygon_id])
+
+    inside = geo.ring_contains("__ring", x, y)
+    if holes:
+        inside = inside & ~F.exists(F.coalesce("__holes", F.array().cast(f"array<{RING}>")), lambda h: geo.ring_contains(h, x, y))
+    small = mates(points, tiles.where("NOT __large"), inside)
+    if boxed.where("__large").isEmpty():
+        return small
+    placed = stage(points.withColumn("__row", F.monotonically_increasing_id()))
+    near = mates(placed.select("__row", lat, lon), tiles.where("__large").drop("__ring"), F.lit(True))
+    large = polygons.where(count > RING_EDGES)
+    bands = stage(_bands(large, polygon_id, ring, holes))
+    heights = bands.groupBy(F.col("__pid").alias("__of")).agg(F.collect_set("__v").alias("__vs"))
+    asked = near.join(heights, F.col(polygon_id) == F.col("__of")).withColumn("__at", F.explode("__vs"))
+    asked = asked.withColumn("__y", F.floor(y / F.pow(F.lit(2.0), "__at")).cast("long"))
+    met = asked.join(bands, (F.col("__of") == F.col("__pid")) & (F.col("__at") == F.col("__v")) & (F.col("__y") == F.col("__band")))
+    crossed = met.groupBy("__row", "__pid").agg(F.sum(geo.crossings("__edges", x, y)).alias("__n")).where("__n % 2 = 1")
+    hits = placed.join(crossed, "__row").select(*[placed[c] for c in points.columns], F.col("__pid").alias(polygon_id))
+    return small.unionByName(hits)
 
 
 def polygon_filter(points: DataFrame, polygons: DataFrame, polygon_id: str, row_id: str, **columns) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from regionloom.functions import geo
@@ -293,6 +295,32 @@ def polygon_filter(spark, sf_dir):
     return footprints.polygon_filter(events(spark, sf_dir), diamonds(spark, sf_dir), "n_nationkey", "event_id").select("event_id")
 
 
+_STARS = """c AS (SELECT n_nationkey, 42.0200317 + n_nationkey * 0.0391 AS cy, -121.9300171 + ((n_nationkey * 7) % 25) * 0.0347 AS cx FROM nation),
+    v AS (SELECT n_nationkey, k, cx + 0.11 * (1 + 0.4 * sin(9 * pi() * k / 150)) * cos(pi() * k / 150) AS x, cy + 0.11 * (1 + 0.4 * sin(9 * pi() * k / 150)) * sin(pi() * k / 150) AS y FROM c, range(300) t(k)),
+    g AS (SELECT a.n_nationkey, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM v a JOIN v b ON b.n_nationkey = a.n_nationkey AND b.k = (a.k + 1) % 300)"""
+
+
+@query(
+    "points_in_stars",
+    f"""WITH {EV}, {_STARS} SELECT event_id, n_nationkey FROM ev JOIN g ON (py > latitude) <> (qy > latitude) AND longitude < px + (latitude - py) / (qy - py) * (qx - px)
+    GROUP BY event_id, n_nationkey HAVING count(*) % 2 = 1""",
+)
+def points_in_stars(spark, sf_dir):
+    """Points in outlines of three hundred edges that are not convex: each point meets the edges of its band."""
+    n = F.col("n_nationkey")
+    centres = table(spark, sf_dir, "nation").select(
+        "n_nationkey", (F.lit(42.0200317) + n * 0.0391).alias("cy"), (F.lit(-121.9300171) + ((n * 7) % 25) * 0.0347).alias("cx")
+    )
+
+    def corner(k):
+        t = F.lit(math.pi) * k / 150
+        far = 0.11 * (1 + 0.4 * F.sin(9 * t))
+        return F.struct((F.col("cx") + far * F.cos(t)).alias("lon"), (F.col("cy") + far * F.sin(t)).alias("lat"))
+
+    stars = centres.select("n_nationkey", F.transform(F.sequence(F.lit(0), F.lit(299)), corner).alias("ring"))
+    return footprints.spatial_join(events(spark, sf_dir), stars, "n_nationkey").select("event_id", "n_nationkey")
+
+
 # ---------------------------------------------------------------- surfaces
 
 _GRID = f"""{EV}, b AS (SELECT min(latitude) AS s, max(latitude) AS n, min(longitude) AS w, max(longitude) AS e FROM ev),

@@ -256,3 +256,46 @@ def test_risk_within_its_error_bound(spark):
     one = surfaces.risk_surface(df.limit(1), 0.1, 3, "v").collect()
     assert len(one) == 9 and len({round(r["risk"], 9) for r in one}) == 1
     assert surfaces.risk_surface(df.limit(0), 0.1, 3, "v").collect() == []
+
+
+def even_odd(ring, x, y):
+    inside = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax):
+            inside = not inside
+    return inside
+
+
+def test_points_in_large_rings_with_holes(spark):
+    random = np.random.default_rng(16)
+
+    def star(cx, cy, r, n):
+        t = 2 * np.pi * np.arange(n) / n
+        far = r * (1 + 0.5 * np.sin(11 * t))
+        return [(float(cx + f * np.cos(a)), float(cy + f * np.sin(a))) for f, a in zip(far, t, strict=True)]
+
+    comb = [(float(i) / 20, 5.0 if i % 2 else 0.0) for i in range(200)] + [(10.0, -1.0), (0.0, -1.0)]  # tall edges
+    rings = {1: (star(0, 0, 3, 700), [star(0.5, 0, 0.5, 90), star(-1, 0, 0.2, 5)]), 2: (star(2, 2, 1, 10), []), 3: (comb, None), 4: (star(-3, 1, 2, 65), [])}
+    shape = "array<struct<lon:double,lat:double>>"
+    polys = spark.createDataFrame([(i, r, h) for i, (r, h) in rings.items()], f"pid int, ring {shape}, holes array<{shape}>")
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(random.uniform(-5, 10, (600, 2)))] + [(900, None, 1.0), (901, 0.0, None)]
+    df = spark.createDataFrame(points, "id int, longitude double, latitude double")
+    got = [(r["id"], r["pid"]) for r in footprints.spatial_join(df, polys, "pid", holes="holes").collect()]
+    want = {
+        (i, k)
+        for i, x, y in points
+        if x is not None and y is not None
+        for k, (ring, holes) in rings.items()
+        if even_odd(ring, x, y) and not any(even_odd(h, x, y) for h in holes or [])
+    }
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_a_ring_of_a_hundred_thousand_edges(spark):
+    t = 2 * np.pi * np.arange(100_000) / 100_000
+    ring = [(float(np.cos(a)), float(np.sin(a))) for a in t]
+    polys = spark.createDataFrame([(1, ring)], "pid int, ring array<struct<lon:double,lat:double>>")
+    points = spark.range(20_000).selectExpr("id", "(id % 200) / 100D - 0.995D AS longitude", "floor(id / 200) / 50D - 0.99D AS latitude")
+    inside = footprints.spatial_join(points, polys, "pid")
+    want = points.where("longitude * longitude + latitude * latitude < 1").count()
+    assert abs(inside.count() - want) <= 4
