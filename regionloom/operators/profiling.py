@@ -21,61 +21,119 @@ LABEL_SHARE = 0.1
 LABEL_COUNT = 50
 
 
+def _measures(field: T.StructField) -> dict[str, Column]:
+    """What is counted of a column: its value where present (else NULL), and tests and numbers for the rules."""
+    raw = F.col(f"`{field.name}`")
+    kind = field.dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        present = raw.isNotNull() & ~F.isnan(raw)
+    elif isinstance(kind, T.StringType):
+        present = raw.isNotNull() & (raw != "")
+    else:
+        present = raw.isNotNull()
+    value = F.when(present, raw.cast("string") if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else raw)
+    money = like_number = F.lit(False)
+    plain_number = F.lit(None).cast("double")
+    if isinstance(kind, T.StringType):
+        like_number = present & looks_numeric(raw)
+        plain_number = F.when(like_number, raw.try_cast("double"))
+        money = present & raw.startswith("$")
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        like_number = present
+        if not isinstance(kind, T.BooleanType):
+            # numbers whose usual text has an exponent do not look like plain digits
+            size = F.abs(raw.cast("double"))
+            plain_number = F.when(present & ((size == 0) | size.between(1e-4, 9.999999999999999e15)), raw.cast("double"))
+    return {"value": value, "present": present, "like_number": like_number, "plain_number": plain_number, "money": money}
+
+
+def _counted(measures: dict[str, Column], i: int) -> list[Column]:
+    return [
+        F.count_if(~measures["present"]).alias(f"null_{i}"),
+        F.count_if(measures["like_number"]).alias(f"numeric_{i}"),
+        F.min(measures["plain_number"]).cast("double").alias(f"low_{i}"),
+        F.max(measures["plain_number"]).cast("double").alias(f"high_{i}"),
+        F.count_if(measures["money"]).alias(f"money_{i}"),
+    ]
+
+
+_COUNTS = {"null_count": "null", "numeric": "numeric", "low": "low", "high": "high", "money": "money"}
+
+
+def _by_column(wide: DataFrame, names: list[str], counts: dict[str, str]) -> DataFrame:
+    rows = [
+        F.struct(F.lit(i).alias("position"), F.lit(name).alias("name"), *[F.col(f"{c}_{i}").alias(alias) for alias, c in counts.items()])
+        for i, name in enumerate(names)
+    ]
+    return wide.select("n", F.inline(F.array(*rows)))
+
+
 def _facts(df: DataFrame, exact: bool) -> DataFrame:
     """One row per column with the counts that the rules need: one aggregate over the table, and one for the exact
     distinct counts, whose expanded rows then carry nothing else."""
     aggregates: list[Column] = [F.count(F.lit(1)).alias("n")]
     distincts: list[Column] = []
     for i, field in enumerate(df.schema.fields):
-        raw = F.col(f"`{field.name}`")
-        kind = field.dataType
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            present = raw.isNotNull() & ~F.isnan(raw)
-        elif isinstance(kind, T.StringType):
-            present = raw.isNotNull() & (raw != "")
-        else:
-            present = raw.isNotNull()
-        value = F.when(present, raw.cast("string") if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else raw)
-        money = like_number = F.lit(False)
-        plain_number = F.lit(None).cast("double")
-        if isinstance(kind, T.StringType):
-            like_number = present & looks_numeric(raw)
-            plain_number = F.when(like_number, raw.try_cast("double"))
-            money = present & raw.startswith("$")
-        elif isinstance(kind, (T.NumericType, T.BooleanType)):
-            like_number = present
-            if not isinstance(kind, T.BooleanType):
-                # numbers whose usual text has an exponent do not look like plain digits
-                size = F.abs(raw.cast("double"))
-                plain_number = F.when(present & ((size == 0) | size.between(1e-4, 9.999999999999999e15)), raw.cast("double"))
+        measures = _measures(field)
         if exact:
-            distincts.append(F.count_distinct(value).alias(f"unique_{i}"))
+            distincts.append(F.count_distinct(measures["value"]).alias(f"unique_{i}"))
         else:
-            aggregates.append(F.approx_count_distinct(value).alias(f"unique_{i}"))
-        aggregates += [
-            F.count_if(~present).alias(f"null_{i}"),
-            F.count_if(like_number).alias(f"numeric_{i}"),
-            F.min(plain_number).alias(f"low_{i}"),
-            F.max(plain_number).alias(f"high_{i}"),
-            F.count_if(money).alias(f"money_{i}"),
-        ]
+            aggregates.append(F.approx_count_distinct(measures["value"]).alias(f"unique_{i}"))
+        aggregates += _counted(measures, i)
     wide = df.agg(*aggregates)
     if exact:
         wide = attach(wide, df.agg(*distincts))
-    rows = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(field.name).alias("name"),
-            F.col(f"null_{i}").alias("null_count"),
-            F.col(f"unique_{i}").alias("unique_values"),
-            F.col(f"numeric_{i}").alias("numeric"),
-            F.col(f"low_{i}").cast("double").alias("low"),
-            F.col(f"high_{i}").cast("double").alias("high"),
-            F.col(f"money_{i}").alias("money"),
-        )
-        for i, field in enumerate(df.schema.fields)
-    ]
-    return wide.select("n", F.inline(F.array(*rows)))
+    return _by_column(wide, df.columns, _COUNTS | {"unique_values": "unique"})
+
+
+#: Bits of the sketches of distinct values, and the relative error that three of their standard errors make.
+DISTINCT_BITS = 14
+DISTINCT_ERROR = 3 * 1.04 / 2 ** (DISTINCT_BITS / 2)
+#: Size of the sketches of quantiles; a rank is off by about this share of the numbers at most.
+QUANTILE_SIZE = 400
+QUANTILE_ERROR = 0.01
+
+
+def profile_state(df: DataFrame) -> DataFrame:
+    """One row per column from which a profile follows, and which adds up: counts and extremes, a sketch of the distinct
+    values and one of the quantiles of the numbers. One pass over the table, of which nothing but the sketches travels.
+
+    Write it beside the data it is of; ``merge_states`` puts the states of old and new data together.
+    """
+    aggregates: list[Column] = [F.count(F.lit(1)).alias("n")]
+    for i, field in enumerate(df.schema.fields):
+        measures = _measures(field)
+        aggregates += _counted(measures, i)
+        aggregates.append(F.hll_sketch_agg(measures["value"].cast("string"), DISTINCT_BITS).alias(f"distinct_{i}"))
+        aggregates.append(F.kll_sketch_agg_double(measures["plain_number"], QUANTILE_SIZE).alias(f"quantiles_{i}"))
+    return _by_column(df.agg(*aggregates), df.columns, _COUNTS | {"distinct": "distinct", "quantiles": "quantiles"})
+
+
+def merge_states(states: list[DataFrame]) -> DataFrame:
+    """The state of all the data that the states are of. Columns are matched by name, in the order of their first places."""
+    every = reduce(DataFrame.unionByName, states)
+    return every.groupBy("name").agg(
+        F.sum("n").alias("n"),
+        F.min("position").alias("position"),
+        *[F.sum(c).alias(c) for c in ("null_count", "numeric", "money")],
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.hll_union_agg("distinct").alias("distinct"),
+        F.kll_merge_agg_double("quantiles").alias("quantiles"),
+    )
+
+
+def profile_of_state(state: DataFrame) -> DataFrame:
+    """The profile that a state stands for: as ``profile``, with the distinct counts off by ``DISTINCT_ERROR`` at most (nearly
+    always), and the quartiles of the numbers (NULL without any), whose ranks are off by about ``QUANTILE_ERROR``."""
+    kind, tag = _rules()
+    known = F.coalesce(F.kll_sketch_get_n_double("quantiles") > 0, F.lit(False))
+    quartiles = {f"q{int(100 * q)}": F.when(known, F.kll_sketch_get_quantile_double("quantiles", F.lit(q))) for q in (0.25, 0.5, 0.75)}
+    estimated = state.withColumn("unique_values", F.coalesce(F.hll_sketch_estimate("distinct"), F.lit(0).cast("bigint")))
+    return estimated.select(
+        "position", "name", kind.alias("inferred_type"), tag.alias("inferred_unit_tag"), "n", "null_count", "unique_values", "low", "high",
+        *[c.alias(name) for name, c in quartiles.items()],
+    )
 
 
 def _rules() -> tuple[Column, Column]:

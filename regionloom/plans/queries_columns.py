@@ -785,3 +785,22 @@ def profile_file(spark, sf_dir):
     back = readers.read_csv(spark, path, ", ".join(f"`{t}` string" for t in writers.PROFILE_HEADER.values()))
     counts = [F.col(f"`{writers.PROFILE_HEADER[c]}`").cast("bigint").alias(c) for c in ("unique_values", "null_count")]
     return back.select(F.col("`Column Name`").alias("name"), *counts)
+
+
+@query(
+    "profile_of_parts",
+    "SELECT 'o_orderkey' AS name, count(*) AS n, count(*) - count(o_orderkey) AS null_count, min(o_orderkey)::DOUBLE AS low, max(o_orderkey)::DOUBLE AS high, 'numeric' AS inferred_type, true AS near FROM orders "
+    "UNION ALL SELECT 'o_totalprice', count(*), count(*) - count(o_totalprice), min(o_totalprice), max(o_totalprice), 'numeric', true FROM orders "
+    "UNION ALL SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority), NULL, NULL, 'categorical', true FROM orders",
+)
+def profile_of_parts(spark, sf_dir):
+    """States of the orders of old and of later years, put together; the estimates are near the exact counts of all."""
+    from regionloom.operators import profiling
+
+    orders = table(spark, sf_dir, "orders")
+    chosen = ["o_orderkey", "o_totalprice", "o_orderpriority"]
+    states = [profiling.profile_state(orders.where(part).select(*chosen)) for part in (F.year("o_orderdate") < 1995, F.year("o_orderdate") >= 1995)]
+    found = profiling.profile_of_state(profiling.merge_states(states))
+    exact = profiling.profile(orders.select(*chosen)).select(F.col("name").alias("of"), F.col("unique_values").alias("exact"))
+    near = F.abs(F.col("unique_values") / F.col("exact") - 1) <= profiling.DISTINCT_ERROR
+    return found.join(exact, F.col("name") == F.col("of")).select("name", "n", "null_count", "low", "high", "inferred_type", near.alias("near"))

@@ -206,3 +206,28 @@ def test_row_functions_apply_to_streams(spark, tmp_path):
     sink = near.writeStream.format("memory").queryName("near_points").trigger(availableNow=True).start()
     sink.awaitTermination(60)
     assert spark.table("near_points").count() == filters.near(spark.read.parquet(path), (42.0, -121.5), 11.2).count() > 0
+
+
+def test_profiles_of_parts_add_up(spark, tmp_path):
+    """The profile of old and new data together is that of all of it, within the stated errors; states survive a file."""
+    rows = [(i, f"name{i % 700}" if i % 5 else "", float(i % 997) / 7 if i % 11 else float("nan"), f"${i % 30}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, name string, depth_km double, price string")
+    old, new = df.where("id < 13000"), df.where("id >= 13000")
+    profiling.profile_state(old).write.parquet(str(tmp_path / "old"))
+    merged = profiling.merge_states([spark.read.parquet(str(tmp_path / "old")), profiling.profile_state(new)])
+    both = {r["name"]: r for r in profiling.profile_of_state(merged).collect()}
+    whole = {r["name"]: r for r in profiling.profile_of_state(profiling.profile_state(df)).collect()}
+    exact = {r["name"]: r for r in profiling.profile(df).collect()}
+    values = {"id": range(20_000), "depth_km": [r[2] for r in rows if r[2] == r[2]]}
+    for name, r in both.items():
+        for c in ("position", "n", "null_count", "low", "high", "inferred_type", "inferred_unit_tag"):
+            assert r[c] == whole[name][c]
+        for c in ("null_count", "inferred_type", "inferred_unit_tag"):
+            assert r[c] == exact[name][c]
+        assert abs(r["unique_values"] / exact[name]["unique_values"] - 1) <= profiling.DISTINCT_ERROR
+        if name in values:
+            for q in (25, 50, 75):
+                rank = sum(v <= r[f"q{q}"] for v in values[name]) / len(values[name])
+                assert abs(rank - q / 100) <= 2 * profiling.QUANTILE_ERROR
+    empty = profiling.profile_of_state(profiling.merge_states([profiling.profile_state(df.limit(0))])).collect()
+    assert len(empty) == 4 and all(r["n"] == 0 and r["unique_values"] == 0 and r["q50"] is None for r in empty)
