@@ -3,7 +3,7 @@
 Signatures. Every distinct shingle of a text is a Poisson process whose rate is its weight; each arrival picks one of the
 registers at random, and a register keeps the shingle that arrived first. A shingle's process ends once its next arrival is
 later than the latest register of its text. Two texts agree in a register with their probability Jaccard similarity. Half
-of the registers weigh a shingle by how often it stands in the text, the other half weigh all alike: what they estimate is
+of the registers weigh a shingle by 1 + log of how often it stands in the text, the other half weigh all alike: what they estimate is
 the similarity of plain sets. Bands of both halves retrieve pairs, so neither a line that is repeated hundreds of times nor
 one that only one of two copies repeats hides a pair.
 
@@ -80,10 +80,13 @@ def signatures(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int
 
 
 def both_signatures(hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    """Half of the registers for plain sets, half for shingles weighted by their counts, with arrivals of their own."""
+    """Half of the registers for plain sets, half for shingles weighted by 1 + log of their counts, with arrivals of their own.
+
+    Plain counts as weights would file all texts together that repeat the same line often, whatever else they hold.
+    """
     half = REGISTERS // 2
     plain = signatures(hashes, rows, np.ones(len(hashes)), n, half)
-    return np.concatenate([plain, signatures(mixed(hashes + np.uint64(1)), rows, counts.astype(float), n, half)], axis=1)
+    return np.concatenate([plain, signatures(mixed(hashes + np.uint64(1)), rows, 1 + np.log(counts), n, half)], axis=1)
 
 
 def band_hashes(kept: np.ndarray, bands: int = BANDS) -> np.ndarray:

@@ -293,7 +293,7 @@ def test_halves_of_a_signature_estimate_both_similarities():
         agree.append((kept[0] == kept[1]).reshape(2, REGISTERS // 2).mean(axis=1))
     plain, weighted = np.mean(agree, axis=0)
     assert abs(plain - 0.8) < 0.02
-    wanted = sum(1 / (100 - 10 + 10 * 50) for _ in range(80))
+    wanted = 80 / (90 + 10 * (1 + np.log(50)))
     assert abs(weighted - wanted) < 0.02
 
 
