@@ -345,3 +345,24 @@ def test_cross_analysis(blobs):
     found = cross.cross_analysis(rows, "cluster", {"one": ["a"], "two": ["c"]}, ["linear_regression", "naive_bayes"])
     assert found.count() == 12
     assert {r["score"] for r in found.where("model = 'linear_regression'").collect()} == {1.0}
+
+
+def test_cross_analysis_is_that_of_single_fits(spark):
+    """Classifiers fitted for all clusters and targets together score as those fitted for one cluster and target."""
+    rng = np.random.default_rng(31)
+    n = 600
+    x = rng.normal(0, 1, (n, 2))
+    frame = pd.DataFrame({"a": x[:, 0], "b": x[:, 1] * 3 + 1, "u": x[:, 0] + rng.normal(0, 0.7, n), "v": x[:, 1] ** 2 + rng.normal(0, 0.5, n), "k": np.arange(n) % 3})
+    df = spark.createDataFrame(frame).withColumn("u", F.when(F.col("u") > -2, F.col("u")))
+    found = cross.cross_analysis(df, "k", {"one": ["a", "b"], "two": ["u", "v"]}, ["naive_bayes", "logistic_regression"])
+    got = {(r["k"], r["target"], r["model"]): (r["n"], r["score"]) for r in found.where("from_group = 'one'").collect()}
+    assert len(got) == 12
+    for k in range(3):
+        for target in ("u", "v"):
+            part = df.where((F.col("k") == k) & F.col(target).isNotNull())
+            mean = part.agg(F.avg(target)).first()[0]
+            part = part.withColumn("label", F.when(F.col(target) > mean, "above").otherwise("below"))
+            for model, fit in (("naive_bayes", classification.naive_bayes), ("logistic_regression", classification.logistic_regression)):
+                metrics = fit(part, ["a", "b"], "label")[2].first()
+                assert got[k, target, model][0] == metrics["n"]
+                assert got[k, target, model][1] == pytest.approx(metrics["accuracy"], abs=0.006)
