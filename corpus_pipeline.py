@@ -1,4 +1,9 @@
-"""From raw documents to a tokenized training set: five stages, each written as Parquet and read by the next."""
+"""From raw documents to a tokenized training set: five stages, each written as Parquet and read by the next.
+
+Every stage takes any table with the columns of documents, others beside them too. A NULL text counts as empty, rows with a
+NULL id are one document, repeated rows are rows of their own (but copies of a text leave one id in ``near_duplicates``), and
+an empty table gives an empty table. Texts are taken whole, whatever their length.
+"""
 
 from __future__ import annotations
 
@@ -32,8 +37,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece numbers of each row."""
-    return pieces.encode(docs).withColumn("n_pieces", F.size("ids"))
+    """Piece numbers of each row, how many, and the digest of the text that they decode to."""
+    decoded = pieces.decode(pieces.encode(docs))
+    digest = F.sha2(F.col("decoded").cast("binary"), 256)
+    return decoded.withColumns({"n_pieces": F.size("ids"), "decoded_sha256": digest}).drop("decoded")
 
 
 STAGES = [
