@@ -279,24 +279,6 @@ def test_signatures_estimate_probability_jaccard():
     assert abs(np.mean(agree) - wanted) < 0.02
 
 
-def test_halves_of_a_signature_estimate_both_similarities():
-    """Sets that share 80 of 100 shingles; one of the two texts repeats 20 of its own 50 times."""
-    from regionloom.llm.prob_minhash import REGISTERS, both_signatures
-    from regionloom.llm.text import mixed
-
-    agree = []
-    for seed in range(80):
-        a, b = np.arange(90), np.arange(10, 100)
-        hashes = mixed(np.concatenate([a, b]).astype(np.uint64) + np.uint64(1000 * seed + 1))
-        counts = np.concatenate([np.ones(90), np.where(b >= 90, 50, 1)])
-        kept = both_signatures(hashes, np.repeat([0, 1], 90), counts.astype(np.int64), 2)
-        agree.append((kept[0] == kept[1]).reshape(2, REGISTERS // 2).mean(axis=1))
-    plain, weighted = np.mean(agree, axis=0)
-    assert abs(plain - 0.8) < 0.02
-    wanted = 80 / (90 + 10 * (1 + np.log(50)))
-    assert abs(weighted - wanted) < 0.02
-
-
 def test_near_copies_with_a_line_repeated_hundreds_of_times(spark):
     """Pairs of plain similarity 0.8 to 0.92, where one text repeats a few shingles often."""
     from regionloom.llm.prob_minhash import near_duplicates
