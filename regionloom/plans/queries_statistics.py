@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regionloom.functions import scalars
 from regionloom.operators import aggregates, bins, correlation, joins, profiling, sampling
 from regionloom.operators.quantiles import exact_quantiles
 from regionloom.plans.registry import query
@@ -409,6 +410,19 @@ def similar_columns(spark, sf_dir):
     return profiling.type_similarity(named)
 
 
+@query(
+    "entropy_of_priorities",
+    """WITH c AS (SELECT c_mktsegment, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+    p AS (SELECT c_mktsegment, n / sum(n) OVER (PARTITION BY c_mktsegment) AS p FROM c) SELECT c_mktsegment, round(-sum(p * ln(p + 1e-9)), 6) AS entropy FROM p GROUP BY c_mktsegment""",
+)
+def entropy_of_priorities(spark, sf_dir):
+    """How evenly the orders of a market segment spread over the priorities."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    counts = orders.groupBy("c_mktsegment", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.groupBy("c_mktsegment").agg(F.collect_list("n").alias("ns"), F.sum("n").alias("all"))
+    return shares.select("c_mktsegment", F.round(scalars.entropy(F.transform("ns", lambda n: n / F.col("all"))), 6).alias("entropy"))
+
+
 # ---------------------------------------------------------------- sampling
 
 _T_TABLE = "CASE WHEN n - 1 > 30 THEN 1.960 ELSE 2.042 END"
